@@ -3,9 +3,9 @@
 The parts of a document (block rows) are range-partitioned by document and order, so that a document of any size is
 spread over tasks; a task turns its run of each document into sequences, and the sequences across task borders are
 made from the few words that each run leaves at its ends. Equal sets become one class. Classes meet in the regions of
-their rarest sequences: two sets of similarity t share one of the first n - ceil(t n) + 1 sequences of any common
-order, here the order of rising frequency by counters in SLOTS slots, counted over all documents. Sizes and positions
-bound the overlap that a pair can still reach; what may reach the threshold is verified on the whole sets.
+their rarest sequences: two sets of similarity t share SHARED of the first n - ceil(t n) + SHARED sequences of any common
+order, here the order of rising frequency by counters in SLOTS slots, counted over all documents. Pairs of similar
+size that do share as many are verified on the whole sets, so no pair is lost and none is wrong.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from acervo.operators.graph import connected_components
 from acervo.session import cut
 
 SLOTS = 1 << 16
+SHARED = 4
 _WORD = re.compile(r"\w+")
 _ODD = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5), np.uint64(0xD6E8FEB86659FD93)]
 
@@ -40,18 +41,29 @@ class WordHashes(dict):
 
 
 def sequence_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of the n-word sequences of word hashes; a shorter text has none."""
+    """48-bit hashes of the n-word sequences of word hashes; a shorter text has none."""
     if len(words) < n:
         return np.empty(0, dtype=np.uint64)
     out = np.zeros(len(words) - n + 1, dtype=np.uint64)
     for i in range(n):
         out = (out ^ words[i : len(words) - n + 1 + i]) * _ODD[i % len(_ODD)]
         out ^= out >> np.uint64(29 + i % 3)
-    return out
+    return out >> np.uint64(16)
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Sorted 48-bit hashes in six bytes each."""
+    return values.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpack(blob: bytes) -> np.ndarray:
+    out = np.zeros((len(blob) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(blob, dtype=np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
 
 
 def sequence_sets(parts: DataFrame, n: int) -> DataFrame:
-    """(doc, size, hashes): the distinct n-word sequences of each document, as sorted 64-bit hashes in one binary value.
+    """(doc, size, hashes): the distinct n-word sequences of each document, as sorted hashes in one binary value.
 
     `parts` has doc (long), part_no, part_id and text. Parts of equal number and id are one part; their texts are
     joined by line ends. A document of fewer than n words has no sequence and no row.
@@ -70,7 +82,7 @@ def sequence_sets(parts: DataFrame, n: int) -> DataFrame:
             w = np.fromiter((x for part in words for x in part), dtype=np.uint64)
             found = np.unique(sequence_hashes(w, n))
             edge = first_run or at_end
-            rows.append((doc, task, edge, len(found), found.tobytes(), len(w), w[: n - 1].tobytes() if edge else b"", w[max(0, len(w) - n + 1) :].tobytes() if edge else b""))
+            rows.append((doc, task, edge, len(found), pack(found), len(w), w[: n - 1].tobytes() if edge else b"", w[max(0, len(w) - n + 1) :].tobytes() if edge else b""))
 
         def flush() -> pa.RecordBatch:
             names = ["doc", "task", "edge", "size", "hashes", "words", "head", "tail"]
@@ -104,14 +116,14 @@ def sequence_sets(parts: DataFrame, n: int) -> DataFrame:
 
     def stitched(group: pa.Table) -> pa.Table:
         group = group.sort_by("task")
-        sets = [np.frombuffer(x, dtype=np.uint64) for x in group.column("hashes").to_pylist()]
+        sets = [unpack(x) for x in group.column("hashes").to_pylist()]
         open_words = np.empty(0, dtype=np.uint64)
         for count, head, tail in zip(*(group.column(c).to_pylist() for c in ("words", "head", "tail")), strict=True):
             h, t = np.frombuffer(head, dtype=np.uint64), np.frombuffer(tail, dtype=np.uint64)
             sets.append(sequence_hashes(np.concatenate([open_words, h]), n))
             open_words = np.concatenate([open_words, h])[-(n - 1) :] if count < n - 1 else t
         found = np.unique(np.concatenate(sets))
-        return pa.table({"doc": group.column("doc")[:1], "size": [len(found)], "hashes": pa.array([found.tobytes()], pa.binary())})
+        return pa.table({"doc": group.column("doc")[:1], "size": [len(found)], "hashes": pa.array([pack(found)], pa.binary())})
 
     torn = runs.join(F.broadcast(split_docs), "doc", "left_semi").groupBy("doc").applyInArrow(stitched, "doc long, size long, hashes binary")
     return whole.unionByName(torn.where("size > 0"))
@@ -123,8 +135,8 @@ def frequency_slots(sets: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, dtype=np.int64)
         for batch in batches:
-            values = np.frombuffer(b"".join(batch.column("hashes").to_pylist()), dtype=np.uint64)
-            total += np.bincount((values >> np.uint64(48)).astype(np.int64), minlength=SLOTS)
+            values = unpack(b"".join(batch.column("hashes").to_pylist()))
+            total += np.bincount((values >> np.uint64(32)).astype(np.int64), minlength=SLOTS)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["slot", "n"])
 
@@ -135,43 +147,54 @@ def frequency_slots(sets: DataFrame) -> np.ndarray:
 
 
 def prefix_postings(sets: DataFrame, threshold: float, slots: np.ndarray) -> DataFrame:
-    """(token, doc, size, place): the rarest sequences of each set, as many as a partner of the threshold must share one of."""
+    """(token, node, size): the rarest sequences of each set, as many as hold SHARED that a partner of the threshold has too. One row for each set of a task."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            tokens, docs, sizes, places = [], [], [], []
-            for doc, blob in zip(batch.column("doc").to_pylist(), batch.column("hashes").to_pylist(), strict=True):
-                values = np.frombuffer(blob, dtype=np.uint64)
+            tokens, nodes, sizes = [], [], []
+            for node, blob in zip(batch.column("node").to_pylist(), batch.column("hashes").to_pylist(), strict=True):
+                if node in seen:
+                    continue
+                seen.add(node)
+                values = unpack(blob)
                 size = len(values)
-                keep = size - int(np.ceil(threshold * size - 1e-9)) + 1
-                order = np.lexsort((values, slots[(values >> np.uint64(48)).astype(np.int64)]))[:keep]
+                keep = min(size, size - int(np.ceil(threshold * size - 1e-9)) + SHARED)
+                order = np.lexsort((values, slots[(values >> np.uint64(32)).astype(np.int64)]))[:keep]
                 tokens.append(values[order])
-                docs.append(np.full(keep, doc))
-                sizes.append(np.full(keep, size))
-                places.append(np.arange(keep))
-            if docs:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(docs)), pa.array(np.concatenate(sizes).astype(np.int32)), pa.array(np.concatenate(places).astype(np.int32))],
-                    names=["token", "doc", "size", "place"],
-                )
+                nodes.append(np.full(keep, node))
+                sizes.append(np.full(keep, size, dtype=np.int32))
+            if nodes:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes))], names=["token", "node", "size"])
+
+    return sets.select("node", "hashes").mapInArrow(emit, "token long, node long, size int").repartition("token").distinct()
+
+
+def _only_wanted(sets: DataFrame, wanted: DataFrame, bits: int = 20) -> DataFrame:
+    """Sets whose node may be wanted, by a map of 2^bits bits: it spares the shuffle of sets that no pair asks for."""
+    marks = np.zeros(1 << bits, dtype=bool)
+    marks[[r.m for r in wanted.select(F.expr(f"node & {(1 << bits) - 1}").alias("m")).distinct().toLocalIterator()]] = True
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(marks[batch.column("node").to_numpy() & ((1 << bits) - 1)]))
 
-    return sets.select("doc", "hashes").mapInArrow(emit, "token long, doc long, size int, place int")
+    return sets.select("node", "hashes").mapInArrow(pick, "node long, hashes binary")
 
 
-def similar_classes(sets: DataFrame, threshold: float, block_pairs: int = 20_000) -> DataFrame:
-    """(a, b, similarity) with a < b: all pairs of different sets with at least the threshold."""
+def similar_sets(sets: DataFrame, threshold: float, block_pairs: int = 20_000) -> DataFrame:
+    """(a, b, similarity) with a < b: all pairs of different sets, by node, with at least the threshold."""
     postings = prefix_postings(sets, threshold, frequency_slots(sets))
-    left, right = (postings.select(F.col("token"), *[F.col(c).alias(f"{s}{c}") for c in ("doc", "size", "place")]) for s in "ab")
-    need = F.ceil(threshold / (1 + threshold) * (F.col("asize") + F.col("bsize")) - 1e-9)
-    # At the first shared sequence nothing before it is shared, so no more than the rest of the shorter side can be.
-    reach = F.least(F.col("asize") - F.col("aplace"), F.col("bsize") - F.col("bplace"))
-    close = (F.least("asize", "bsize") >= threshold * F.greatest("asize", "bsize") - 1e-9) & (reach >= need)
-    pairs = left.join(right, "token").where((F.col("adoc") < F.col("bdoc")) & close).select(F.col("adoc").alias("a"), F.col("bdoc").alias("b")).distinct()
+    left, right = (postings.select("token", F.col("node").alias(s), F.col("size").alias(f"size_{s}")) for s in "ab")
+    near = F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b") - 1e-9
+    met = left.join(right, "token").where((F.col("a") < F.col("b")) & near).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.least(F.min("size_a"), F.min("size_b")).alias("smaller"))
+    pairs = met.where(F.col("shared") >= F.least(F.lit(SHARED), F.ceil(threshold * F.col("smaller") - 1e-9)))
     placed, wanted = pair_blocks(pairs, block_pairs)
-    held = wanted.join(sets.select(F.col("doc").alias("node"), "hashes"), "node").select(F.col("block").alias("set_block"), "node", "hashes")
+    one = _only_wanted(sets, wanted).dropDuplicates(["node"])
+    held = wanted.join(one, "node").select(F.col("block").alias("set_block"), F.col("node").alias("member"), "hashes")
 
     def verify(pairs_table: pa.Table, sets_table: pa.Table) -> pa.Table:
-        own = {k: np.frombuffer(v, dtype=np.uint64) for k, v in zip(sets_table.column("node").to_pylist(), sets_table.column("hashes").to_pylist(), strict=True)}
+        own = {k: unpack(v) for k, v in zip(sets_table.column("member").to_pylist(), sets_table.column("hashes").to_pylist(), strict=True)}
         a, b = pairs_table.column("a").to_pylist(), pairs_table.column("b").to_pylist()
         out = []
         for x, y in zip(a, b, strict=True):
@@ -189,12 +212,13 @@ def near_copies(parts: DataFrame, threshold: float = 0.8, n: int = 5) -> tuple[D
     Defined results: null documents, null or blank texts and documents of fewer than n words have no sequence and
     appear in neither result; repeated parts count once; an empty table gives none.
     """
-    sets = cut(sequence_sets(parts, n))
-    keyed = sets.select("doc", F.md5("hashes").alias("key"), "size")
-    members = keyed.join(keyed.groupBy("key").agg(F.min("doc").alias("class_doc")), "key").select("doc", "class_doc")
-    first = members.where("doc = class_doc").select("doc")
-    links = similar_classes(sets.join(first, "doc", "left_semi"), threshold)
-    return members, links
+    sets = sequence_sets(parts, n).withColumn("node", F.xxhash64("hashes"))
+    names = sets.groupBy("node").agg(F.min("doc").alias("class_doc"))
+    members = sets.select("doc", "node").join(names, "node").select("doc", "class_doc")
+    links = cut(similar_sets(sets, threshold))
+    for end in ("a", "b"):
+        links = links.join(names.select(F.col("node").alias(end), F.col("class_doc").alias(f"class_{end}")), end)
+    return members, links.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b"), "similarity")
 
 
 def copy_groups(members: DataFrame, links: DataFrame) -> DataFrame:
