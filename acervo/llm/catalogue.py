@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["vectors_q", "records_q", "split_q", "near_copies_q", "lookalikes_q", "leaks_q", "languages_q", "mixing_q"]
+MODULES = ["vectors_q", "records_q", "split_q", "near_copies_q", "lookalikes_q", "leaks_q", "languages_q", "mixing_q", "parties_q"]
 
 
 def queries() -> dict:
