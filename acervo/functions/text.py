@@ -29,12 +29,20 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(fold(text), F.lit(r"(?U)[^\W_]+"), F.lit(0))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once: an expression used inside a lambda is otherwise computed at every step."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def word_ngrams(tokens: Column, n: int) -> Column:
     """Distinct n-word sequences; a shorter text is one sequence, an empty one has none."""
-    grams = F.transform(F.sequence(F.lit(0), F.size(tokens) - n), lambda i: F.array_join(F.slice(tokens, i + 1, n), " "))
-    return F.when(F.size(tokens) == 0, F.array().cast("array<string>")).when(
-        F.size(tokens) < n, F.array(F.array_join(tokens, " "))
-    ).otherwise(F.array_distinct(grams))
+
+    def grams(t: Column) -> Column:
+        long = F.transform(F.sequence(F.lit(0), F.size(t) - n), lambda i: F.array_join(F.slice(t, i + 1, n), " "))
+        short = F.when(F.size(t) == 0, F.array().cast("array<string>")).when(F.size(t) < n, F.array(F.array_join(t, " ")))
+        return short.otherwise(F.array_distinct(long))
+
+    return let(tokens, grams)
 
 
 def content_digest(*columns: Column) -> Column:

@@ -27,7 +27,7 @@ def fold_policy(log: DataFrame, subject: str, epoch: str, sets: Column, clears:
 
 def chain_digest(previous: Column, *fields: Column) -> Column:
     """The digest that a chained record must bear."""
-    return F.sha2(F.concat_ws("|", F.coalesce(previous, F.lit("")), *[f.cast("string") for f in fields]), 256)
+    return F.sha2(F.concat_ws("|", F.coalesce(previous.cast("string"), F.lit("")), *[f.cast("string") for f in fields]), 256)
 
 
 def broken_links(log: DataFrame, key: str, epoch: str, previous: str, digest: str, *fields: str) -> DataFrame:
