@@ -157,7 +157,8 @@ def host_priors(heads: DataFrame, strength: float = 20.0) -> DataFrame:
 
 
 def _arg_max(values: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(x) for x in LANGUAGES]), F.array_position(values, F.array_max(values)).cast("int"))
+    best = F.element_at(F.array(*[F.lit(x) for x in LANGUAGES]), F.array_position(values, F.array_max(values)).cast("int"))
+    return F.when(values.isNotNull(), best)
 
 
 def languages_of(documents: DataFrame, id_col: str, text: str, label: str, source: str, client: str, sample_rows: int = 20_000) -> DataFrame:
