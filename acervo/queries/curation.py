@@ -11,7 +11,8 @@ from acervo.session import table
 
 # An example of an ordered rule table; callers bring their own.
 RULES = [("amendment", r"\b(termo aditivo|alteracao)\b"), ("termination", r"\bdistrato\b"), ("lease", r"\blocacao\b"), ("power", r"\bprocuracao\b"), ("consortium", r"\bconsorcio\b"), ("contract", r"\bcontrato\b"), ("settlement", r"\bacordo\b")]
-VERSION = [F.col("mfiles_version").desc_nulls_last(), F.col("row_id").desc()]
+def _newest() -> list:
+    return [F.col("mfiles_version").desc_nulls_last(), F.col("row_id").desc()]
 
 
 def _curation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +25,7 @@ def manifest_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _snapshot(df: DataFrame) -> DataFrame:
-    return latest(df, ["mfiles_id"], VERSION).select("mfiles_id", "mfiles_version", F.lower("file.sha256").alias("sha"), "decision", "category", "title", "class_name", "file.extension", "reasons", "row_id")
+    return latest(df, ["mfiles_id"], _newest()).select("mfiles_id", "mfiles_version", F.lower("file.sha256").alias("sha"), "decision", "category", "title", "class_name", "file.extension", "reasons", "row_id")
 
 
 def manifest_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
