@@ -5,7 +5,12 @@ spread over tasks; a task turns its run of each document into sequences, and the
 made from the few words that each run leaves at its ends. Equal sets become one class. Classes meet in the regions of
 their rarest sequences: two sets of similarity t share SHARED of the first n - ceil(t n) + SHARED sequences of any common
 order, here the order of rising frequency by counters in SLOTS slots, counted over all documents. Pairs of similar
-size that do share as many are verified on the whole sets, so no pair is lost and none is wrong.
+size that do share as many are verified on the whole sets, so no pair is lost and none is wrong. A region that more
+than CROWD sets share is divided: there, sets meet only where they share two such sequences.
+
+Pivots with Voronoi regions and triangle windows cannot give this result here: sets of five-word sequences of unrelated
+documents lie at a distance near 1 from each other and from every pivot, so the windows hold nearly all pivots (the
+README has the measured figures). The rarest sequences take the place of the pivots.
 """
 
 from __future__ import annotations
@@ -26,6 +31,7 @@ from acervo.session import cut
 
 SLOTS = 1 << 16
 SHARED = 4
+CROWD = 1000
 _WORD = re.compile(r"\w+")
 _ODD = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5), np.uint64(0xD6E8FEB86659FD93)]
 
@@ -182,13 +188,35 @@ def _only_wanted(sets: DataFrame, wanted: DataFrame, bits: int = 20) -> DataFram
     return sets.select("node", "hashes").mapInArrow(pick, "node long, hashes binary")
 
 
-def similar_sets(sets: DataFrame, threshold: float, block_pairs: int = 20_000) -> DataFrame:
-    """(a, b, similarity) with a < b: all pairs of different sets, by node, with at least the threshold."""
-    postings = prefix_postings(sets, threshold, frequency_slots(sets))
-    left, right = (postings.select("token", F.col("node").alias(s), F.col("size").alias(f"size_{s}")) for s in "ab")
+def _meeting(regions: DataFrame, key: str, threshold: float) -> DataFrame:
+    """(a, b, shared, smaller): pairs of similar size with the number of regions they share."""
+    left, right = (regions.select(key, F.col("node").alias(s), F.col("size").alias(f"size_{s}")) for s in "ab")
     near = F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b") - 1e-9
-    met = left.join(right, "token").where((F.col("a") < F.col("b")) & near).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.least(F.min("size_a"), F.min("size_b")).alias("smaller"))
-    pairs = met.where(F.col("shared") >= F.least(F.lit(SHARED), F.ceil(threshold * F.col("smaller") - 1e-9)))
+    met = left.join(right, key).where((F.col("a") < F.col("b")) & near)
+    return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.least(F.min("size_a"), F.min("size_b")).alias("smaller"))
+
+
+def candidate_pairs(postings: DataFrame, threshold: float, crowd: int = CROWD) -> DataFrame:
+    """(a, b): pairs that share as many rarest sequences as a pair of the threshold must."""
+    need = F.least(F.lit(SHARED), F.ceil(threshold * F.col("smaller") - 1e-9))
+    crowded = postings.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("token")
+    if crowded.isEmpty():
+        return _meeting(postings, "token", threshold).where(F.col("shared") >= need).select("a", "b")
+    loud = postings.join(crowded, "token", "left_semi").groupBy("node", "size").agg(F.array_sort(F.collect_set("token")).alias("tokens"))
+    counts = loud.select("node", F.size("tokens").alias("n"))
+    met = _meeting(postings.join(crowded, "token", "left_anti"), "token", threshold)
+    for end in ("a", "b"):
+        met = met.join(counts.select(F.col("node").alias(end), F.col("n").alias(f"loud_{end}")), end, "left").na.fill(0, [f"loud_{end}"])
+    quiet_pairs = met.where(F.col("shared") + F.least("loud_a", "loud_b") >= need).select("a", "b")
+    # Of pairs that share crowded sequences only, both hold two of them (a set of one sequence equals its partner).
+    twos = F.flatten(F.transform("tokens", lambda x, i: F.transform(F.slice("tokens", i + 2, F.size("tokens")), lambda y: F.xxhash64(x, y))))
+    divided = loud.where(F.size("tokens") >= 2).select("node", "size", F.explode(twos).alias("region"))
+    return quiet_pairs.unionByName(_meeting(divided, "region", threshold).select("a", "b")).distinct()
+
+
+def similar_sets(sets: DataFrame, threshold: float, block_pairs: int = 20_000, crowd: int = CROWD) -> DataFrame:
+    """(a, b, similarity) with a < b: all pairs of different sets, by node, with at least the threshold."""
+    pairs = candidate_pairs(prefix_postings(sets, threshold, frequency_slots(sets)), threshold, crowd)
     placed, wanted = pair_blocks(pairs, block_pairs)
     one = _only_wanted(sets, wanted).dropDuplicates(["node"])
     held = wanted.join(one, "node").select(F.col("block").alias("set_block"), F.col("node").alias("member"), "hashes")
@@ -206,7 +234,7 @@ def similar_sets(sets: DataFrame, threshold: float, block_pairs: int = 20_000) -
     return checked.where(F.col("similarity") >= threshold)
 
 
-def near_copies(parts: DataFrame, threshold: float = 0.8, n: int = 5) -> tuple[DataFrame, DataFrame]:
+def near_copies(parts: DataFrame, threshold: float = 0.8, n: int = 5, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
     """((doc, class_doc), (a, b, similarity)): classes of equal sets, named by their smallest document, and all linked pairs of classes.
 
     Defined results: null documents, null or blank texts and documents of fewer than n words have no sequence and
@@ -215,7 +243,7 @@ def near_copies(parts: DataFrame, threshold: float = 0.8, n: int = 5) -> tuple[D
     sets = sequence_sets(parts, n).withColumn("node", F.xxhash64("hashes"))
     names = sets.groupBy("node").agg(F.min("doc").alias("class_doc"))
     members = sets.select("doc", "node").join(names, "node").select("doc", "class_doc")
-    links = cut(similar_sets(sets, threshold))
+    links = cut(similar_sets(sets, threshold, crowd=crowd))
     for end in ("a", "b"):
         links = links.join(names.select(F.col("node").alias(end), F.col("class_doc").alias(f"class_{end}")), end)
     return members, links.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b"), "similarity")

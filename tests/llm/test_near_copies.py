@@ -46,8 +46,9 @@ def test_exact_against_brute_force(spark, threshold):
     rows = corpus(int(threshold * 100))
     rows += [rows[0], rows[5], (None, 0, "z", "a b c d e f", ""), (9001, 0, "a", None, ""), (9002, 0, "a", "", ""), (9003, 0, "a", "one two three four", ""), (9004, 0, None, "a b c d e f", "")]
     df = spark.createDataFrame(rows, SCHEMA).repartition(5)
-    got = [(r.doc_id_a, r.doc_id_b) for r in expand_pairs(*near_copies(df, threshold)).collect()]
-    assert len(got) == len(set(got)) and set(got) == brute(rows, threshold)
+    for crowd in (1000, 3, 1):  # regions divided from so many sets on
+        got = [(r.doc_id_a, r.doc_id_b) for r in expand_pairs(*near_copies(df, threshold, crowd=crowd)).collect()]
+        assert len(got) == len(set(got)) and set(got) == brute(rows, threshold)
 
 
 def test_a_document_over_many_tasks_is_whole(spark):
