@@ -117,8 +117,11 @@ def fit(documents: DataFrame, sample_rows: int) -> WordModel:
     return WordModel.of(_counts(sample, WordModel.of(_counts(sample, None))))
 
 
+_SEGMENTS = "array<struct<start:int,end:int,words:int,full:boolean,likelihood:array<double>>>"
+
+
 def language_segments(documents: DataFrame, sample_rows: int = 20_000) -> DataFrame:
-    """(id, label, source, client, segments): each document's sentences with their text likelihoods.
+    """(id, label, source, client, segments, reading): each document's sentences with their likelihood by language, and what the text alone says.
 
     segments: array of (start, end, words, full, likelihood by language).
     """
@@ -126,16 +129,18 @@ def language_segments(documents: DataFrame, sample_rows: int = 20_000) -> DataFr
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = Slots()
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32()), ("full", pa.bool_()), ("likelihood", pa.list_(pa.float64()))]))
         for batch in batches:
-            rows = []
+            rows, readings = [], []
             for text in batch.column("text").to_pylist():
-                rows.append([{"start": a, "end": b, "words": len(w), "full": f, "likelihood": model.likelihood([slots[x] for x in w]).tolist()} for a, b, w, f in sentences(text or "")])
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32()), ("full", pa.bool_()), ("likelihood", pa.list_(pa.float64()))]))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("id", "label", "source", "client")] + [pa.array(rows, kind)], names=["id", "label", "source", "client", "segments"])
+                found = [(a, b, len(w), f, model.likelihood([slots[x] for x in w])) for a, b, w, f in sentences(text or "")]
+                rows.append([{"start": a, "end": b, "words": n, "full": f, "likelihood": v.tolist()} for a, b, n, f, v in found])
+                readings.append(LANGUAGES[int(sum(v for *_, v in found).argmax())] if found else None)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c) for c in ("id", "label", "source", "client")] + [pa.array(rows, kind), pa.array(readings, pa.string())], names=["id", "label", "source", "client", "segments", "reading"]
+            )
 
-    return documents.select("id", "text", "label", "source", "client").mapInArrow(
-        read, "id long, label string, source string, client string, segments array<struct<start:int,end:int,words:int,full:boolean,likelihood:array<double>>>"
-    )
+    return documents.select("id", "text", "label", "source", "client").mapInArrow(read, f"id long, label string, source string, client string, segments {_SEGMENTS}, reading string")
 
 
 def host_priors(heads: DataFrame, strength: float = 20.0) -> DataFrame:
@@ -156,9 +161,36 @@ def host_priors(heads: DataFrame, strength: float = 20.0) -> DataFrame:
     return hosts.join(upper, "source").select("source", "client", share(F.col("own"), F.col("upper")).alias("prior"))
 
 
-def _arg_max(values: Column) -> Column:
-    best = F.element_at(F.array(*[F.lit(x) for x in LANGUAGES]), F.array_position(values, F.array_max(values)).cast("int"))
-    return F.when(values.isNotNull(), best)
+def _soft(scores: np.ndarray) -> np.ndarray:
+    raised = np.exp(scores - scores.max(axis=1, keepdims=True))
+    return raised / raised.sum(axis=1, keepdims=True)
+
+
+def fused(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Posteriors of documents and segments from likelihoods and the document's log prior and label evidence (lead)."""
+    names = np.array(LANGUAGES)
+    for batch in batches:
+        segments, lead = batch.column("segments"), batch.column("lead").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(LANGUAGES))
+        counts = np.array([len(x) for x in segments], dtype=np.int64)
+        flat = segments.flatten()
+        owner = np.repeat(np.arange(len(counts)), counts)
+        likelihood = flat.field("likelihood").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(LANGUAGES))
+        p = _soft(likelihood + lead[owner]) if len(flat) else np.empty((0, len(LANGUAGES)))
+        whole = np.array(lead)
+        np.add.at(whole, owner, likelihood)
+        q, known = _soft(whole) if len(whole) else whole, counts > 0
+        words = np.bincount(owner, weights=flat.field("words").to_numpy(zero_copy_only=False), minlength=len(counts)).astype(np.int32) if len(flat) else np.zeros(len(counts), np.int32)
+        lines = pa.StructArray.from_arrays(
+            [*(flat.field(c) for c in ("start", "end", "words", "full")), pa.array(names[p.argmax(axis=1)].tolist(), pa.string()), pa.array(p.max(axis=1) if len(p) else [], pa.float64())],
+            names=["start", "end", "words", "full", "lang", "confidence"],
+        )
+        offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+        best = [str(names[i]) if k else None for i, k in zip(q.argmax(axis=1), known, strict=True)] if len(q) else []
+        sure = [float(x) if k else None for x, k in zip(q.max(axis=1), known, strict=True)] if len(q) else []
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("id"), batch.column("label"), pa.array(best, pa.string()), pa.array(sure, pa.float64()), pa.array(words, pa.int32()), pa.ListArray.from_arrays(offsets, lines)],
+            names=["id", "label", "lang", "confidence", "words", "segments"],
+        )
 
 
 def languages_of(documents: DataFrame, id_col: str, text: str, label: str, source: str, client: str, sample_rows: int = 20_000) -> DataFrame:
@@ -170,10 +202,7 @@ def languages_of(documents: DataFrame, id_col: str, text: str, label: str, sourc
     """
     c = lambda name: F.col(f"`{name}`")
     plain = documents.select(c(id_col).cast("long").alias("id"), c(text).alias("text"), declared(c(label)).alias("label"), c(source).alias("source"), c(client).alias("client")).where("id IS NOT NULL")
-    read = cut(language_segments(plain, sample_rows))
-    column_sum = lambda i: F.aggregate("segments", F.lit(0.0), lambda s, x: s + x["likelihood"][i])
-    summed = F.array(*[column_sum(i) for i in range(len(LANGUAGES))])
-    heads = read.withColumn("text_score", F.when(F.size("segments") > 0, summed)).withColumn("reading", _arg_max(F.col("text_score")))
+    heads = cut(language_segments(plain, sample_rows))
     labels = heads.where("reading IS NOT NULL").groupBy("label", "reading").count().collect()  # at most 7 x 5 numbers
     seen = Counter({(r.label, r.reading): r["count"] for r in labels})
     of_reading = Counter()
@@ -188,14 +217,8 @@ def languages_of(documents: DataFrame, id_col: str, text: str, label: str, sourc
     even = F.array(*[F.lit(1.0 / len(LANGUAGES))] * len(LANGUAGES))
     joined = joined.withColumn("lead", F.transform(F.coalesce("prior", even), lambda p, i: F.log(p) + F.col("evidence")[i]))
 
-    def posterior(scores: Column) -> Column:
-        raised = F.transform(scores, lambda x: F.exp(x - F.array_max(scores)))
-        return F.transform(raised, lambda x: x / F.aggregate(raised, F.lit(0.0), lambda s, y: s + y))
-
-    fused = F.transform("segments", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["words"].alias("words"), x["full"].alias("full"), posterior(F.transform(x["likelihood"], lambda v, i: v + F.col("lead")[i])).alias("p")))
-    out = joined.withColumn("fused", fused).withColumn("doc_p", F.when(F.col("text_score").isNotNull(), posterior(F.transform("text_score", lambda v, i: v + F.col("lead")[i]))))
-    lines = F.transform("fused", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["words"].alias("words"), x["full"].alias("full"), _arg_max(x["p"]).alias("lang"), F.array_max(x["p"]).alias("confidence")))
-    return out.select("id", "label", _arg_max(F.col("doc_p")).alias("lang"), F.array_max("doc_p").alias("confidence"), F.aggregate("segments", F.lit(0), lambda s, x: s + x["words"]).alias("words"), lines.alias("segments"))
+    kind = "array<struct<start:int,end:int,words:int,full:boolean,lang:string,confidence:double>>"
+    return joined.select("id", "label", "segments", "lead").mapInArrow(fused, f"id long, label string, lang string, confidence double, words int, segments {kind}")
 
 
 def wrong_or_mixed(read: DataFrame, least_words: int = 8) -> DataFrame:
