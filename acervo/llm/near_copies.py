@@ -178,12 +178,16 @@ def prefix_postings(sets: DataFrame, threshold: float, slots: np.ndarray) -> Dat
 
 def _only_wanted(sets: DataFrame, wanted: DataFrame, bits: int = 20) -> DataFrame:
     """Sets whose node may be wanted, by a map of 2^bits bits: it spares the shuffle of sets that no pair asks for."""
-    marks = np.zeros(1 << bits, dtype=bool)
-    marks[[r.m for r in wanted.select(F.expr(f"node & {(1 << bits) - 1}").alias("m")).distinct().toLocalIterator()]] = True
+    slot = F.expr(f"node & {(1 << bits) - 1}")
+    words = wanted.select(F.shiftright(slot, 5).alias("word"), F.expr("cast(1 as bigint) << cast(node & 31 as int)").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    map_ = np.zeros(1 << (bits - 5), dtype=np.uint32)
+    for r in words.toLocalIterator():
+        map_[r.word] = r.bits
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(marks[batch.column("node").to_numpy() & ((1 << bits) - 1)]))
+            slots = batch.column("node").to_numpy() & ((1 << bits) - 1)
+            yield batch.filter(pa.array(((map_[slots >> 5] >> (slots & 31).astype(np.uint32)) & 1).astype(bool)))
 
     return sets.select("node", "hashes").mapInArrow(pick, "node long, hashes binary")
 
