@@ -23,8 +23,7 @@ def catalog_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first unit of each instrument, in the order of the instruments' numbers."""
     c = table(spark, sf_dir, "chunks").where("instrument_id IS NOT NULL")
     first = c.groupBy("instrument_id").agg(F.min_by("unit_id", F.struct("unit_start", "unit_id")).alias("unit_id"), F.count_distinct("unit_id").alias("units"))
-    number = F.split("instrument_id", ":")[1].try_cast("long")
-    return first.withColumn("place", F.row_number().over(Window.orderBy(number, "instrument_id")))
+    return first.orderBy(F.split("instrument_id", ":")[1].try_cast("long"), "instrument_id")
 
 
 def catalog_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,8 +135,7 @@ _WORDS = r"regexp_extract_all(strip_accents(lower(replace({x}, 'ß', 'ss'))), '[
 SQL = {
     "staged_sources": r"""SELECT DISTINCT source_id, try_cast(regexp_extract(source_id, '^doc:(\d+):v(\d+):file:(\d+)$', 1) AS BIGINT) AS doc_id, try_cast(regexp_extract(source_id, '^doc:(\d+):v(\d+):file:(\d+)$', 2) AS BIGINT) AS version,
   try_cast(regexp_extract(source_id, '^doc:(\d+):v(\d+):file:(\d+)$', 3) AS BIGINT) AS file_id, CASE WHEN source_id IS NULL THEN 'no_source' WHEN NOT regexp_matches(source_id, '^doc:(\d+):v(\d+):file:(\d+)$') THEN 'bad_name' END AS skipped FROM chunks""",
-    "catalog_projection": """WITH f AS (SELECT instrument_id, arg_min(unit_id, {'a': unit_start, 'b': unit_id}) AS unit_id, count(DISTINCT unit_id) AS units FROM chunks WHERE instrument_id IS NOT NULL GROUP BY 1)
-SELECT *, row_number() OVER (ORDER BY try_cast(split_part(instrument_id, ':', 2) AS BIGINT) NULLS FIRST, instrument_id) AS place FROM f""",
+    "catalog_projection": "SELECT instrument_id, arg_min(unit_id, {'a': unit_start, 'b': unit_id}) AS unit_id, count(DISTINCT unit_id) AS units FROM chunks WHERE instrument_id IS NOT NULL GROUP BY 1",
     "catalog_search": f"SELECT DISTINCT mfiles_id FROM curation WHERE mfiles_id IS NOT NULL AND (contains({_F.format(x='title')}, 'locacao') OR contains({_F.format(x='cliente')}, 'locacao') OR mfiles_id = 100010) ORDER BY 1 LIMIT 300",
     "thematic_test": f"""WITH a AS (SELECT DISTINCT item_id, unnest({_WORDS.format(x='text')}) AS w FROM eval_passages), d AS (SELECT doc_id, unnest(list_distinct({_WORDS.format(x='text')})) AS w FROM documents WHERE text IS NOT NULL),
 r AS (SELECT w FROM d GROUP BY w HAVING count(*) <= (SELECT count(*) / 100 FROM documents WHERE text IS NOT NULL))
