@@ -33,11 +33,22 @@ def plain_words(text: str) -> list[str]:
     return _WORD.findall(text)
 
 
+def terms_of(words: list[str], term: int) -> list[str]:
+    return words if term == 1 else [" ".join(x) for x in zip(*(words[k:] for k in range(term)), strict=False)]
+
+
 class Index:
-    """BM25 postings of items by term, with the maxima of blocks of BLOCK items; weights in units of each item's threshold."""
+    """BM25 postings of items by term, with the maxima of blocks of BLOCK items; weights in units of each item's threshold.
+
+    Terms are sequences of `term` words: n words in a row hold n - term + 1 of them, so thresholds stay exact, and they
+    are in far fewer items than words are.
+    """
 
-    def __init__(self, items: list[tuple[int, list[str]]], n: int, k1: float = 1.2, b: float = 0.75):
-        items = [(i, w) for i, w in items if len(w) >= n]
+    def __init__(self, items: list[tuple[int, list[str]]], n: int, term: int = 4, k1: float = 1.2, b: float = 0.75):
+        term = min(term, n)
+        self.term = term
+        whole = [(i, w) for i, w in items if len(w) >= n]
+        items = [(i, terms_of(w, term)) for i, w in whole]
         self.ids = [i for i, _ in items]
         self.n = n
         documents = Counter(t for _, w in items for t in set(w))
@@ -46,12 +57,12 @@ class Index:
         self.items: dict[str, list[int]] = defaultdict(list)
         self.weights: dict[str, list[float]] = defaultdict(list)
         self.runs: list[frozenset] = []
-        for place, (_, words) in enumerate(items):
+        for place, ((_, words), (_, plain)) in enumerate(zip(items, whole, strict=True)):
             norm = k1 * (1 - b + b * len(words) / mean)
             score = {t: idf[t] * f * (k1 + 1) / (f + norm) for t, f in Counter(words).items()}
-            windows = [words[i : i + n] for i in range(len(words) - n + 1)]
+            windows = [words[i : i + n - term + 1] for i in range(len(plain) - n + 1)]
             least = min(sum(score[t] for t in set(w)) for w in windows) * (1 - 1e-9)
-            self.runs.append(frozenset(" ".join(w) for w in windows))
+            self.runs.append(frozenset(" ".join(plain[i : i + n]) for i in range(len(plain) - n + 1)))
             for t, s in score.items():
                 self.items[t].append(place)
                 self.weights[t].append(s / least)
@@ -117,7 +128,7 @@ class Index:
             part = words[start : start + passage + n - 1]
             if len(part) < n:
                 continue
-            places = self.retrieve(set(part))
+            places = self.retrieve(set(terms_of(part, self.term)))
             if places:
                 runs = {" ".join(part[i : i + n]) for i in range(len(part) - n + 1)}
                 for place in places:

@@ -41,7 +41,7 @@ def test_agrees_with_brute_force(spark):
 def test_retrieval_equals_full_scoring():
     rng = random.Random(8)
     words = [f"v{i}" for i in range(40)]
-    index = Index([(i, [rng.choice(words) for _ in range(20)]) for i in range(90)], 4)
+    index = Index([(i, [rng.choice(words) for _ in range(20)]) for i in range(90)], 4, term=1)
     for _ in range(200):
         terms = {rng.choice(words) for _ in range(rng.randint(1, 9))}
         scores = {}
