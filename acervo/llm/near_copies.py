@@ -218,7 +218,7 @@ def candidate_pairs(postings: DataFrame, threshold: float, crowd: int = CROWD) -
     return quiet_pairs.unionByName(_meeting(divided, "region", threshold).select("a", "b")).distinct()
 
 
-def similar_sets(sets: DataFrame, threshold: float, block_pairs: int = 20_000, crowd: int = CROWD) -> DataFrame:
+def similar_sets(sets: DataFrame, threshold: float, block_pairs: int = 4000, crowd: int = CROWD) -> DataFrame:
     """(a, b, similarity) with a < b: all pairs of different sets, by node, with at least the threshold."""
     pairs = candidate_pairs(prefix_postings(sets, threshold, frequency_slots(sets)), threshold, crowd)
     placed, wanted = pair_blocks(pairs, block_pairs)
