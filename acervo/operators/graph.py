@@ -30,13 +30,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
     return nodes.join(now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("c")), "node", "left").select("node", F.coalesce("c", "node").alias("component"))
 
 
-def ancestors(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
+def ancestors(edges: DataFrame, seeds: DataFrame | None = None, most_rounds: int = 64) -> DataFrame:
     """(child, parent, depth): all that is reached along child -> parent edges, with the least number of steps.
 
-    Rounds join only what the last round found, drop what is known and end when nothing is new, so cycles end too.
+    With `seeds` (child) only from these. Rounds join only what the last round found, drop what is known and end when nothing is new, so cycles end too.
     """
-    known = cut(edges.select("child", "parent").where("child IS NOT NULL AND parent IS NOT NULL").distinct().withColumn("depth", F.lit(1)))
-    step, new = known.select(F.col("child").alias("parent"), F.col("parent").alias("above")), known
+    whole = edges.select("child", "parent").where("child IS NOT NULL AND parent IS NOT NULL").distinct()
+    step = whole.select(F.col("child").alias("parent"), F.col("parent").alias("above"))
+    known = new = cut((whole if seeds is None else whole.join(seeds.select("child").distinct(), "child", "left_semi")).withColumn("depth", F.lit(1)))
     for depth in range(2, most_rounds):
         reached = new.select("child", "parent").join(step, "parent").select("child", F.col("above").alias("parent")).distinct()
         new = cut(reached.join(known.select("child", "parent"), ["child", "parent"], "left_anti").withColumn("depth", F.lit(depth)))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from acervo.functions.text import fold
 from acervo.operators.graph import ancestors
 from acervo.operators.retrieval import bm25, exact_nearest, reciprocal_rank_fusion, top_k
+from acervo.session import cut
 
 
 @dataclass(frozen=True)
@@ -63,8 +64,8 @@ def retrieve(corpus: Corpus, questions: DataFrame, question_vectors: DataFrame |
     if corpus.vectors is not None and question_vectors is not None:
         near = exact_nearest(corpus.vectors, question_vectors, "id", "vector", limits.depth)
         rankings.append(near.join(eligible, ["query_id", "id"], "left_semi").select("query_id", "id", "rank"))
-    ranked = reciprocal_rank_fusion(rankings, limits.k)
-    above = ancestors(corpus.depends).select(F.col("child").alias("id"), F.col("parent").alias("needed"))
+    ranked = cut(reciprocal_rank_fusion(rankings, limits.k))  # k rows a question
+    above = ancestors(corpus.depends, ranked.select(F.col("id").alias("child"))).select(F.col("child").alias("id"), F.col("parent").alias("needed"))
     needed = ranked.join(above, "id").select("query_id", F.col("needed").alias("id")).distinct().join(ranked, ["query_id", "id"], "left_anti")
     proof = ranked.select("query_id", "id", "rank").unionByName(needed.withColumn("rank", F.lit(None).cast("int")))
     weighed = proof.join(corpus.chunks.select("id", "tokens", F.lit(True).alias("there")), "id", "left")
