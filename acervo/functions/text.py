@@ -26,7 +26,7 @@ def squeeze(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Runs of letters and digits of the folded text, in order."""
-    return F.regexp_extract_all(fold(text), F.lit(r"(?U)[^\W_]+"), F.lit(0))
+    return F.regexp_extract_all(fold(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def let(value: Column, body) -> Column:

@@ -132,6 +132,7 @@ QUERIES = {f.__name__: f for f in (staged_sources, catalog_projection, catalog_s
 _B = "b AS (SELECT * FROM blocks WHERE block_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY block_id ORDER BY ingested_at DESC NULLS LAST, text_search NULLS LAST, hierarchy_level) = 1)"
 _F = "strip_accents(lower(replace({x}, 'ß', 'ss')))"
 _WORDS = r"regexp_extract_all(strip_accents(lower(replace({x}, 'ß', 'ss'))), '[\p{{L}}\p{{N}}]+')"
+_CLIENT = r"regexp_extract(cliente, '^\S+ - (.+)$', 1)"
 SQL = {
     "staged_sources": r"""SELECT DISTINCT source_id, try_cast(regexp_extract(source_id, '^doc:(\d+):v(\d+):file:(\d+)$', 1) AS BIGINT) AS doc_id, try_cast(regexp_extract(source_id, '^doc:(\d+):v(\d+):file:(\d+)$', 2) AS BIGINT) AS version,
   try_cast(regexp_extract(source_id, '^doc:(\d+):v(\d+):file:(\d+)$', 3) AS BIGINT) AS file_id, CASE WHEN source_id IS NULL THEN 'no_source' WHEN NOT regexp_matches(source_id, '^doc:(\d+):v(\d+):file:(\d+)$') THEN 'bad_name' END AS skipped FROM chunks""",
@@ -147,7 +148,7 @@ SELECT CASE WHEN c IS NULL THEN 'missing' WHEN wanted IS NULL THEN 'unexpected'
 SELECT user_id, sha256(string_agg(event_type || ':' || e, ',' ORDER BY event_type)) AS digest FROM h GROUP BY 1""",
     "party_lines": """WITH k AS (SELECT doc_id, list(name ORDER BY party_no, party_id) AS n FROM parties WHERE doc_id IS NOT NULL AND name IS NOT NULL GROUP BY 1)
 SELECT doc_id, CASE WHEN len(n) = 1 THEN n[1] ELSE array_to_string(n[1:len(n) - 1], ', ') || ' e ' || n[len(n)] END AS line FROM k""",
-    "client_matches": rf"""WITH c AS (SELECT row_id, mfiles_id AS doc_id, {_WORDS.format(x="regexp_extract(cliente, '^\S+ - (.+)$', 1)")} AS w FROM curation WHERE mfiles_id IS NOT NULL AND cliente LIKE '% - %'),
+    "client_matches": rf"""WITH c AS (SELECT row_id, mfiles_id AS doc_id, {_WORDS.format(x=_CLIENT)} AS w FROM curation WHERE mfiles_id IS NOT NULL AND cliente LIKE '% - %'),
 p AS (SELECT doc_id, {_WORDS.format(x='name')} AS n FROM parties WHERE doc_id IS NOT NULL)
 SELECT row_id, coalesce(bool_or(list_has_all(n, w)), false) AS matched FROM c LEFT JOIN p USING (doc_id) GROUP BY row_id""",
     "numbering": f"""WITH {_B}, c AS (SELECT *, lower(block_type) AS kind, sum((lower(block_type) = 'clause')::INT) OVER (PARTITION BY doc_id ORDER BY order_index, block_id ROWS UNBOUNDED PRECEDING) AS clause_no FROM b WHERE doc_id IS NOT NULL),
