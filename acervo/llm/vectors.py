@@ -4,8 +4,9 @@ Vectors of one dimension are scaled to unit length and projected on Gaussian dir
 distance, which on unit vectors orders as cosine does). A table's bucket is the tuple of floor((a.x + b) / width).
 A vector is indexed in its own bucket of each table and queries that bucket and the `probes` perturbed buckets that
 are likeliest to hold its neighbours: perturbation sets of one or two coordinates, ordered by the summed squared
-distances to the crossed bucket borders. Within a bucket, short codes (a random projection in 4-bit steps) screen the
-candidates; survivors of all tables are merged and reranked by their exact cosine.
+distances to the crossed bucket borders. Within a bucket, codes (rotated, in 8-bit steps) bound each cosine from both
+sides: what can be among a query's k best goes on. Where that is more than `keep`, the query is decided by the exact
+cosines of the bucket. Survivors of all tables are merged and reranked by their exact cosine.
 
 Equal vectors are one node; of each node the k + 1 smallest ids are kept, which decides every list exactly. A bucket
 that holds more than `cap` nodes is divided by further, narrower hash functions; where even those do not divide it,
@@ -25,9 +26,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from acervo.llm.pairs import pair_blocks
+from acervo.session import cut
 
 SLOTS = 1 << 18
-CODE_DIM = 64
 
 
 @dataclass(frozen=True)
@@ -41,7 +42,6 @@ class Plan:
     cap: int = 4096
     deeper: int = 6
     keep: int = 16
-    margin: float = 0.12
     seed: int = 20240117
 
 
@@ -73,7 +73,6 @@ def _new_family(plan: Plan, dimension: int) -> dict:
     for row, chosen in enumerate(sets):
         for i, d in chosen:
             member[row, 2 * i + (d > 0)] = 1
-    code_dim = min(CODE_DIM, dimension)
     return {
         "a": rng.standard_normal((plan.tables, dimension, per_table)).astype(np.float32),
         "b": rng.random((plan.tables, per_table)).astype(np.float32),
@@ -81,7 +80,7 @@ def _new_family(plan: Plan, dimension: int) -> dict:
         "mix": rng.integers(1, 1 << 63, size=(plan.tables, per_table), dtype=np.int64).view(np.uint64) | np.uint64(1),
         "salt": rng.integers(1, 1 << 63, size=(plan.tables, 3), dtype=np.int64).view(np.uint64),
         "sets": member,
-        "code": np.linalg.qr(rng.standard_normal((dimension, code_dim)))[0].astype(np.float32),
+        "code": np.linalg.qr(rng.standard_normal((dimension, dimension)))[0].astype(np.float32),
     }
 
 
@@ -126,36 +125,31 @@ def _chosen(plan: Plan, keys: np.ndarray, nodes: np.ndarray, counts: np.ndarray)
 
 
 def encode(plan: Plan, dimension: int, x: np.ndarray) -> np.ndarray:
-    """Codes of unit vectors: rotated (from CODE_DIM up also projected), in 8-bit steps up to 32 dimensions, else in 4-bit steps, two to a byte; the first byte says which."""
+    """Codes of unit vectors: rotated, in 8-bit steps of the largest element."""
     y = x @ _family(plan, dimension)["code"]
     y /= np.maximum(np.abs(y).max(axis=1, keepdims=True), 1e-30)
-    if dimension <= 32:
-        body = (np.rint(y * 127).astype(np.int16) + 128).astype(np.uint8)
-        return np.hstack([np.full((len(x), 1), 8, np.uint8), body])
-    steps = (np.rint(y * 7).astype(np.int8) + 8).astype(np.uint8)
-    if steps.shape[1] % 2:
-        steps = np.pad(steps, ((0, 0), (0, 1)), constant_values=8)
-    return np.hstack([np.full((len(x), 1), 4, np.uint8), steps[:, 0::2] << 4 | steps[:, 1::2]])
+    return (np.rint(y * 127).astype(np.int16) + 128).astype(np.uint8)
 
 
 def decode(codes: np.ndarray) -> np.ndarray:
     """Unit vectors that codes of one dimension stand for."""
     if not len(codes):
         return np.empty((0, 1), dtype=np.float32)
-    body = codes[:, 1:]
-    if codes[0, 0] == 8:
-        steps = body.astype(np.float32) - 128
-    else:
-        steps = np.empty((len(codes), 2 * body.shape[1]), dtype=np.float32)
-        steps[:, 0::2], steps[:, 1::2] = body >> 4, body & 15
-        steps -= 8
+    steps = codes.astype(np.float32) - 128
     return steps / np.maximum(np.linalg.norm(steps, axis=1, keepdims=True), 1e-30)
 
 
-def _unit(vectors: pa.Array, dimension: int) -> np.ndarray:
+def doubt(codes: np.ndarray) -> np.ndarray:
+    """How far, at most, a vector lies from what its code stands for: no step is off by more than a half."""
+    norms = np.linalg.norm(codes.astype(np.float32) - 128, axis=1)
+    sine = np.minimum(1, 0.5 * np.sqrt(codes.shape[1]) / np.maximum(norms, 1e-30))
+    return np.sqrt(2 - 2 * np.sqrt(1 - sine**2)) + 1e-5
+
+
+def _unit(vectors: pa.Array, dimension: int, kind: type = np.float32) -> np.ndarray:
     x = vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, dimension).astype(np.float64)
     x /= np.abs(x).max(axis=1, keepdims=True)
-    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(kind)
 
 
 def _by_dimension(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -200,8 +194,8 @@ def bucket_counts(nodes: DataFrame, plan: Plan) -> np.ndarray:
     return counts
 
 
-def candidate_pairs(nodes: DataFrame, plan: Plan, min_cosine: float) -> DataFrame:
-    """(a, b) with a < b: nodes that met in a bucket and whose codes are similar enough; distinct."""
+def candidate_pairs(nodes: DataFrame, plan: Plan, min_cosine: float, k: int = 10) -> DataFrame:
+    """(a, b) with a < b: nodes that met in a bucket and of which one can be among the k best of the other there; distinct."""
     counts = bucket_counts(nodes, plan)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,32 +223,77 @@ def candidate_pairs(nodes: DataFrame, plan: Plan, min_cosine: float) -> DataFram
                         names=["bucket", "node", "indexed", "code"],
                     )
 
-    floor = min_cosine - plan.margin
-
     def meet(group: pa.Table) -> pa.Table:
+        """Pairs a, b; of a bucket with undecided queries, these as `a` and what they have to be compared with as `b`."""
         ids, own = group.column("node").to_numpy(), group.column("indexed").to_numpy()
         blob = group.column("code").combine_chunks()
         codes = np.frombuffer(b"".join(blob.to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
-        _, first = np.unique(np.stack([ids, own.astype(np.int64)]), axis=1, return_index=True)
-        ids, own, codes = ids[first], own[first], codes[first]
-        x = decode(codes)
-        there, index = ids[own], x[own]
-        found = [np.empty((0, 2), dtype=np.int64)]
-        for start in range(0, len(ids), 2048) if len(there) else ():
-            some = ids[start : start + 2048]
+        asking, first = np.unique(ids, return_index=True)
+        x, off = decode(codes[first]), doubt(codes[first])
+        held = np.isin(asking, ids[own])
+        there, index = asking[held], x[held]
+        found, open_queries, open_index = [np.empty((0, 2), dtype=np.int64)], [np.empty(0, dtype=np.int64)], np.zeros(len(there), dtype=bool)
+        for start in range(0, len(asking), 2048) if len(there) else ():
+            some = asking[start : start + 2048]
+            bound = off[start : start + 2048]
+            bound = bound + off[held].max() * (1 + bound)
             near = x[start : start + 2048] @ index.T
-            near[some[:, None] == there[None, :]] = -2
-            if near.shape[1] > plan.keep:
-                least = np.partition(near, -plan.keep, axis=1)[:, -plan.keep]
-                q, c = np.nonzero(near >= np.maximum(least, floor)[:, None])
-            else:
-                q, c = np.nonzero(near >= floor)
+            at = np.minimum(np.searchsorted(there, some), len(there) - 1)
+            same = np.flatnonzero(there[at] == some)
+            near[same, at[same]] = -4
+            least = (min_cosine - bound).astype(near.dtype)
+            many = np.flatnonzero(np.count_nonzero(near >= least[:, None], axis=1) > k)
+            if len(many):
+                kth = np.partition(near[many], -k, axis=1)[:, -k]
+                least[many] = np.maximum(least[many], kth - 2 * bound[many])
+            hits = near >= least[:, None]
+            undecided = np.count_nonzero(hits, axis=1) > max(k, plan.keep)
+            if undecided.any():
+                open_queries.append(some[undecided])
+                open_index |= hits[undecided].any(axis=0)
+                hits[undecided] = False
+            q, c = np.nonzero(hits)
             found.append(np.stack([np.minimum(some[q], there[c]), np.maximum(some[q], there[c])], axis=1))
         pairs = np.unique(np.concatenate(found), axis=0)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+        asks, index_ids = np.concatenate(open_queries), there[open_index]
+        bucket, none = group.column("bucket")[0].as_py(), lambda n: pa.nulls(n, pa.int64())
+        return pa.table(
+            {
+                "bucket": pa.concat_arrays([none(len(pairs)), pa.array(np.full(len(asks) + len(index_ids), bucket))]),
+                "a": pa.concat_arrays([pa.array(pairs[:, 0]), pa.array(asks), none(len(index_ids))]),
+                "b": pa.concat_arrays([pa.array(pairs[:, 1]), none(len(asks)), pa.array(index_ids)]),
+            }
+        )
 
     placed = nodes.mapInArrow(place, "bucket long, node long, indexed boolean, code binary")
-    return placed.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
+    met = cut(placed.groupBy("bucket").applyInArrow(meet, "bucket long, a long, b long"))
+    pairs, undecided = met.where("bucket IS NULL").select("a", "b"), met.where("bucket IS NOT NULL")
+    if not undecided.isEmpty():
+        pairs = pairs.unionByName(_decided(undecided, nodes, min_cosine, k))
+    return pairs.distinct()
+
+
+def _decided(undecided: DataFrame, nodes: DataFrame, min_cosine: float, k: int) -> DataFrame:
+    """(a, b) with a < b: of each query `a` of a bucket, the k best `b` of that bucket by the exact cosine, equal ones included."""
+
+    def decide(group: pa.Table) -> pa.Table:
+        asks, ids = group.column("asks").to_numpy(), group.column("node").to_numpy()
+        x = _unit(group.column("vector").combine_chunks(), group.column("dimension")[0].as_py(), np.float64)
+        there, index, some, queries = ids[~asks], x[~asks], ids[asks], x[asks]
+        found = [np.empty((0, 2), dtype=np.int64)]
+        for start in range(0, len(some), 1024):
+            mine = some[start : start + 1024]
+            near = queries[start : start + 1024] @ index.T
+            near[mine[:, None] == there[None, :]] = -4
+            least = np.partition(near, -k, axis=1)[:, -k] if near.shape[1] > k else np.full(len(mine), -2.0)
+            q, c = np.nonzero(near >= np.maximum(least, min_cosine)[:, None] - 1e-12)
+            found.append(np.stack([np.minimum(mine[q], there[c]), np.maximum(mine[q], there[c])], axis=1))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    sides = undecided.select("bucket", F.coalesce("a", "b").alias("node"), F.col("a").isNotNull().alias("asks"))
+    vectors = nodes.select("node", "dimension", "vector").dropDuplicates(["node"])
+    return sides.join(vectors, "node").groupBy("bucket").applyInArrow(decide, "a long, b long")
 
 
 def rerank(pairs: DataFrame, nodes: DataFrame, block_pairs: int = 20_000) -> DataFrame:
@@ -297,7 +336,7 @@ def most_similar(df: DataFrame, id_col: str, vector: str, dimension: str, k: int
     ids = rows.select("id", "node").distinct()
     ranked = ids.withColumn("n", F.row_number().over(Window.partitionBy("node").orderBy("id"))).where(F.col("n") <= k + 1)
     members = ranked.groupBy("node").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    exact = rerank(candidate_pairs(rows, plan, min_cosine), rows).where(F.col("cosine") >= min_cosine)
+    exact = rerank(candidate_pairs(rows, plan, min_cosine, k), rows).where(F.col("cosine") >= min_cosine)
     edges = exact.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other"), "cosine"), F.struct(F.col("b").alias("node"), F.col("a").alias("other"), "cosine"))).alias("e")).select("e.*")
     reach = edges.join(members.withColumnRenamed("node", "other"), "other")
     nearest = Window.partitionBy("node").orderBy(F.col("cosine").desc(), F.col("ids")[0])

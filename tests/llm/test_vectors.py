@@ -50,6 +50,21 @@ def test_recall_on_hard_vectors_and_crowded_buckets(spark):
     assert len({(r.id, r.neighbour_id) for r in got} & want) >= 0.9 * len(want)
 
 
+@pytest.mark.parametrize("dim, spread", [(48, 0.25), (48, 0.1), (96, 0.25), (96, 0.1)])
+def test_recall_where_more_than_keep_are_close(spark, dim, spread):
+    """The ten best among hundreds of close vectors of one bucket, with the default plan."""
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal(dim) + spread * rng.standard_normal((1500, dim))
+    df = spark.createDataFrame([(i, v.tolist(), dim, "", "") for i, v in enumerate(x)], SCHEMA)
+    got = most_similar(df, "vec_id", "vector", "dimension", k=10, min_cosine=0.9).collect()
+    f = x.astype(np.float32).astype(float)
+    f /= np.linalg.norm(f, axis=1, keepdims=True)
+    s = f @ f.T
+    np.fill_diagonal(s, -2)
+    want = {(i, int(j)) for i in range(len(x)) for j in np.argsort(-s[i])[:10] if s[i, j] >= 0.9}
+    assert len({(r.id, r.neighbour_id) for r in got} & want) >= 0.9 * len(want) > 0
+
+
 def test_empty_table(spark):
     assert most_similar(spark.createDataFrame([], SCHEMA), "vec_id", "vector", "dimension").count() == 0
 
