@@ -9,8 +9,8 @@ sides: what can be among a query's k best goes on. Where that is more than `keep
 cosines of the bucket. Survivors of all tables are merged and reranked by their exact cosine.
 
 Equal vectors are one node; of each node the k + 1 smallest ids are kept, which decides every list exactly. A bucket
-that holds more than `cap` nodes is divided by further, narrower hash functions; where even those do not divide it,
-its nodes are indistinguishable at that width and are dealt into blocks of `cap`. Bucket sizes are known from counters
+that holds more than `cap` nodes is dealt into blocks of about `cap`, as are its queries, and each
+block of queries meets each block of nodes, so that `cap` limits the memory of a meeting only. Bucket sizes are known from counters
 in SLOTS slots, so what the driver and the workers hold of them is bounded by SLOTS, whatever the size of the data.
 """
 
@@ -40,7 +40,6 @@ class Plan:
     probes: int = 4
     width: float = 2.0
     cap: int = 4096
-    deeper: int = 6
     keep: int = 16
     seed: int = 20240117
 
@@ -64,8 +63,6 @@ def _family(plan: Plan, dimension: int) -> dict:
 
 def _new_family(plan: Plan, dimension: int) -> dict:
     rng = np.random.default_rng([plan.seed, dimension])
-    per_table = plan.hashes + 2 * plan.deeper
-    widths = np.concatenate([np.full(plan.hashes, plan.width), np.full(plan.deeper, plan.width / 3), np.full(plan.deeper, plan.width / 9)])
     singles = [((i, d),) for i in range(plan.hashes) for d in (-1, 1)]
     doubles = [(x[0], y[0]) for x, y in combinations(singles, 2) if x[0][0] != y[0][0]]
     sets = singles + doubles
@@ -74,11 +71,10 @@ def _new_family(plan: Plan, dimension: int) -> dict:
         for i, d in chosen:
             member[row, 2 * i + (d > 0)] = 1
     return {
-        "a": rng.standard_normal((plan.tables, dimension, per_table)).astype(np.float32),
-        "b": rng.random((plan.tables, per_table)).astype(np.float32),
-        "widths": widths.astype(np.float32),
-        "mix": rng.integers(1, 1 << 63, size=(plan.tables, per_table), dtype=np.int64).view(np.uint64) | np.uint64(1),
-        "salt": rng.integers(1, 1 << 63, size=(plan.tables, 3), dtype=np.int64).view(np.uint64),
+        "a": rng.standard_normal((plan.tables, dimension, plan.hashes)).astype(np.float32),
+        "b": rng.random((plan.tables, plan.hashes)).astype(np.float32),
+        "mix": rng.integers(1, 1 << 63, size=(plan.tables, plan.hashes), dtype=np.int64).view(np.uint64) | np.uint64(1),
+        "salt": rng.integers(1, 1 << 63, size=plan.tables, dtype=np.int64).view(np.uint64),
         "sets": member,
         "code": np.linalg.qr(rng.standard_normal((dimension, dimension)))[0].astype(np.float32),
     }
@@ -93,35 +89,32 @@ def _slot(keys: np.ndarray) -> np.ndarray:
     return (keys >> np.uint64(46)).astype(np.int64)
 
 
-def _levels(plan: Plan, dimension: int, x: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of one table: the sums of the first level's bucket numbers, those that the deeper levels add, and the border distances."""
+def _sums(plan: Plan, dimension: int, x: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of one table: the sums of the bucket numbers and the border distances."""
     family = _family(plan, dimension)
-    at = (x @ family["a"][table]) / family["widths"] + family["b"][table]
+    at = (x @ family["a"][table]) / np.float32(plan.width) + family["b"][table]
     floor = np.floor(at)
-    near = (at - floor)[:, : plan.hashes]
-    parts = floor.astype(np.int64).view(np.uint64) * family["mix"][table]
-    cuts = [0, plan.hashes, plan.hashes + plan.deeper]
-    sums = np.add.reduceat(parts, cuts, axis=1)
     borders = np.empty((len(x), 2 * plan.hashes), dtype=np.float32)
-    borders[:, 0::2], borders[:, 1::2] = near, 1 - near
-    return sums[:, 0], sums[:, 1:], borders
+    borders[:, 0::2], borders[:, 1::2] = at - floor, 1 - (at - floor)
+    return (floor.astype(np.int64).view(np.uint64) * family["mix"][table]).sum(axis=1, dtype=np.uint64), borders
 
 
-def _level_keys(plan: Plan, dimension: int, first: np.ndarray, added: np.ndarray, table: int) -> np.ndarray:
-    salt = _family(plan, dimension)["salt"][table]
-    running = first[:, None] + np.concatenate([np.zeros((len(first), 1), np.uint64), np.cumsum(added, axis=1, dtype=np.uint64)], axis=1)
-    return _scramble(running + salt)
+def _keys(plan: Plan, dimension: int, sums: np.ndarray, table: int) -> np.ndarray:
+    return _scramble(sums + _family(plan, dimension)["salt"][table])
 
 
-def _chosen(plan: Plan, keys: np.ndarray, nodes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first level whose bucket is small enough; a last-level bucket that is not is dealt into blocks."""
-    sizes = counts[_slot(keys)]
-    out = keys[:, 2].copy()
-    blocks = np.maximum(1, -(-sizes[:, 2] // plan.cap)).astype(np.uint64)
-    deal = _scramble(nodes.view(np.uint64)) % blocks
-    out = np.where(blocks > 1, _scramble(out + deal + np.uint64(1)), out)
-    out = np.where(sizes[:, 1] <= plan.cap, keys[:, 1], out)
-    return np.where(sizes[:, 0] <= plan.cap, keys[:, 0], out)
+def _meetings(bucket: np.ndarray, blocks: np.ndarray, nodes: np.ndarray, indexed: bool) -> Iterator[tuple[np.ndarray, np.ndarray, bool, bool]]:
+    """(rows, places, indexed, asks): a block of a divided bucket's nodes meets each block of its queries, a bucket of one block is one place."""
+    whole = np.flatnonzero(blocks == 1)
+    yield whole, bucket[whole], indexed, True
+    split = np.flatnonzero(blocks > 1)
+    own = _scramble(nodes.view(np.uint64)) % blocks.astype(np.uint64)
+    for other in range(int(blocks[split].max(initial=0))):
+        rows = split[blocks[split] > other]
+        n, mine, step = blocks[rows].astype(np.uint64), own[rows], np.uint64(other)
+        yield rows, _scramble(bucket[rows] + step * n + mine + np.uint64(1)), False, True
+        if indexed:
+            yield rows, _scramble(bucket[rows] + mine * n + step + np.uint64(1)), True, False
 
 
 def encode(plan: Plan, dimension: int, x: np.ndarray) -> np.ndarray:
@@ -175,15 +168,14 @@ def usable_nodes(df: DataFrame, id_col: str, vector: str, dimension: str) -> Dat
 
 
 def bucket_counts(nodes: DataFrame, plan: Plan) -> np.ndarray:
-    """Nodes in each counter slot, over the buckets of all tables and levels; SLOTS numbers whatever the data."""
+    """Nodes in each counter slot, over the buckets of all tables; SLOTS numbers whatever the data."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, dtype=np.int64)
         for dimension, _, x in _by_dimension(batches):
             for table in range(plan.tables):
-                first, added, _ = _levels(plan, dimension, x, table)
-                keys = _level_keys(plan, dimension, first, added, table)
-                total += np.bincount(_slot(keys.ravel()), minlength=SLOTS)
+                keys = _keys(plan, dimension, _sums(plan, dimension, x, table)[0], table)
+                total += np.bincount(_slot(keys), minlength=SLOTS)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["slot", "n"])
 
@@ -203,8 +195,8 @@ def candidate_pairs(nodes: DataFrame, plan: Plan, min_cosine: float, k: int = 10
             codes = encode(plan, dimension, x)
             sets = _family(plan, dimension)["sets"]
             for table in range(plan.tables):
-                first, added, borders = _levels(plan, dimension, x, table)
-                mix = _family(plan, dimension)["mix"][table][: plan.hashes]
+                first, borders = _sums(plan, dimension, x, table)
+                mix = _family(plan, dimension)["mix"][table]
                 step = np.empty(2 * plan.hashes, dtype=np.uint64)
                 step[0::2], step[1::2] = np.uint64(0) - mix, mix
                 cost = (borders**2) @ sets.T
@@ -212,31 +204,35 @@ def candidate_pairs(nodes: DataFrame, plan: Plan, min_cosine: float, k: int = 10
                 moves = (sets.astype(np.uint64) * step).sum(axis=1, dtype=np.uint64)
                 for probe in range(-1, order.shape[1]):
                     at = first if probe < 0 else first + moves[order[:, probe]]
-                    keys = _chosen(plan, _level_keys(plan, dimension, at, added, table), ids, counts)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(keys.view(np.int64)),
-                            pa.array(ids, pa.int64()),
-                            pa.array(np.full(len(ids), probe < 0)),
-                            pa.FixedSizeBinaryArray.from_buffers(pa.binary(codes.shape[1]), len(ids), [None, pa.py_buffer(np.ascontiguousarray(codes))]).cast(pa.binary()),
-                        ],
-                        names=["bucket", "node", "indexed", "code"],
-                    )
+                    bucket = _keys(plan, dimension, at, table)
+                    blocks = np.maximum(1, -(-counts[_slot(bucket)] // plan.cap))
+                    for rows, keys, indexed, asks in _meetings(bucket, blocks, ids, probe < 0):
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array(keys.view(np.int64)),
+                                pa.array(ids[rows], pa.int64()),
+                                pa.array(np.full(len(rows), indexed)),
+                                pa.array(np.full(len(rows), asks)),
+                                pa.FixedSizeBinaryArray.from_buffers(pa.binary(codes.shape[1]), len(rows), [None, pa.py_buffer(np.ascontiguousarray(codes[rows]))]).cast(pa.binary()),
+                            ],
+                            names=["bucket", "node", "indexed", "asks", "code"],
+                        )
 
     def meet(group: pa.Table) -> pa.Table:
         """Pairs a, b; of a bucket with undecided queries, these as `a` and what they have to be compared with as `b`."""
-        ids, own = group.column("node").to_numpy(), group.column("indexed").to_numpy()
+        ids, own, asks = (group.column(c).to_numpy() for c in ("node", "indexed", "asks"))
         blob = group.column("code").combine_chunks()
         codes = np.frombuffer(b"".join(blob.to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
-        asking, first = np.unique(ids, return_index=True)
+        nodes, first = np.unique(ids, return_index=True)
         x, off = decode(codes[first]), doubt(codes[first])
-        held = np.isin(asking, ids[own])
-        there, index = asking[held], x[held]
+        held, asks = np.isin(nodes, ids[own]), np.isin(nodes, ids[asks])
+        there, index, farthest = nodes[held], x[held], off[held].max(initial=0)
+        asking, x, off = nodes[asks], x[asks], off[asks]
         found, open_queries, open_index = [np.empty((0, 2), dtype=np.int64)], [np.empty(0, dtype=np.int64)], np.zeros(len(there), dtype=bool)
         for start in range(0, len(asking), 2048) if len(there) else ():
             some = asking[start : start + 2048]
             bound = off[start : start + 2048]
-            bound = bound + off[held].max() * (1 + bound)
+            bound = bound + farthest * (1 + bound)
             near = x[start : start + 2048] @ index.T
             at = np.minimum(np.searchsorted(there, some), len(there) - 1)
             same = np.flatnonzero(there[at] == some)
@@ -265,7 +261,7 @@ def candidate_pairs(nodes: DataFrame, plan: Plan, min_cosine: float, k: int = 10
             }
         )
 
-    placed = nodes.mapInArrow(place, "bucket long, node long, indexed boolean, code binary")
+    placed = nodes.mapInArrow(place, "bucket long, node long, indexed boolean, asks boolean, code binary")
     met = cut(placed.groupBy("bucket").applyInArrow(meet, "bucket long, a long, b long"))
     pairs, undecided = met.where("bucket IS NULL").select("a", "b"), met.where("bucket IS NOT NULL")
     if not undecided.isEmpty():

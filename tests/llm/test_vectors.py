@@ -65,6 +65,20 @@ def test_recall_where_more_than_keep_are_close(spark, dim, spread):
     assert len({(r.id, r.neighbour_id) for r in got} & want) >= 0.9 * len(want) > 0
 
 
+def test_blocks_of_a_divided_bucket_meet(spark):
+    """One tight cluster of many times `cap`: all of its pairs meet, whatever the cap."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal(96) + 0.02 * rng.standard_normal((1000, 96))
+    df = spark.createDataFrame([(i, v.tolist(), 96, "", "") for i, v in enumerate(x)], SCHEMA)
+    got = most_similar(df, "vec_id", "vector", "dimension", k=10, min_cosine=0.9, plan=Plan(cap=150)).collect()
+    f = x.astype(np.float32).astype(float)
+    f /= np.linalg.norm(f, axis=1, keepdims=True)
+    s = f @ f.T
+    np.fill_diagonal(s, -2)
+    want = {(i, int(j)) for i in range(len(x)) for j in np.argsort(-s[i])[:10]}
+    assert len({(r.id, r.neighbour_id) for r in got} & want) >= 0.9 * len(want)
+
+
 def test_empty_table(spark):
     assert most_similar(spark.createDataFrame([], SCHEMA), "vec_id", "vector", "dimension").count() == 0
 
