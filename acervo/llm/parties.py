@@ -3,8 +3,8 @@
 A name is parsed into given names, surnames and initials, or into a company's own words and its line of business.
 Rows with a usable identifier form a cluster for each identifier, named by its few most complete forms; rows without
 one collapse by parsed name and mask. Names are sharded by pairs of their words (and of word ends, for two typing
-errors); in each shard a trie of the clusters' names is traversed with a Levenshtein automaton, and the neighbours
-within bounded distance, and forms with initials, are checked over the orders of their words. Clusters are joined when
+errors); in each shard tries of the names' words are traversed with a Levenshtein automaton, and the names
+whose words are alike in any order, or alike when joined, are checked over the orders of their words. Clusters are joined when
 names agree and identifiers are one typing error apart; a name without identifier joins the one cluster that it fits
 best, none when two clusters fit alike (persons of the same name), and otherwise its own kind.
 """
@@ -13,9 +13,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
 from itertools import combinations, permutations
 
 import pandas as pd
@@ -152,10 +152,6 @@ class Name:
         kind, given, more, initials, words, business = key.split("|")
         return cls(kind, given, tuple(more.split()), tuple(initials.split()), tuple(words.split()), tuple(business.split()))
 
-    @cached_property
-    def letters(self) -> str:
-        return "".join([self.given, *self.words])
-
     @property
     def completeness(self) -> int:
         return 10 * (len(self.given) > 1) + 10 * len(self.words) + 3 * len(self.more) - 2 * len(self.initials) + len(self.business)
@@ -356,6 +352,38 @@ def parsed(rows: DataFrame) -> DataFrame:
     return rows.select("party_id", "name", "raw_identifier").mapInPandas(read, "party_id long, name string, ident string, mask string")
 
 
+class _Partners:
+    """Which names of a list can agree with one of it: their joined words are near, or each word of the shorter has an alike one."""
+
+    def __init__(self, names: list[Name]) -> None:
+        self.names = names
+        self.words, self.joined = Trie(), Trie()
+        self.with_word: dict[str, list[int]] = {}
+        self.with_joined: dict[str, list[int]] = {}
+        for at, name in enumerate(names):
+            for w in set(name.words):
+                self.with_word.setdefault(w, []).append(at)
+            self.with_joined.setdefault("".join(name.words), []).append(at)
+        self.all_words, self.all_joined = list(self.with_word), list(self.with_joined)
+        for trie, texts in ((self.words, self.all_words), (self.joined, self.all_joined)):
+            for i, text in enumerate(texts):
+                trie.add(text, i)
+        self.like_word, self.like_joined = Memo(self._like_word), Memo(self._like_joined)
+
+    def _like_word(self, word: str) -> set[int]:
+        return {at for i in self.words.near(word, slack(word)) if alike(word, self.all_words[i]) for at in self.with_word[self.all_words[i]]}
+
+    def _like_joined(self, joined: str) -> set[int]:
+        return {at for i in self.joined.near(joined, 2) for at in self.with_joined[self.all_joined[i]]}
+
+    def before(self, place: int) -> list[int]:
+        name = self.names[place]
+        hits = Counter(at for w in name.words for at in self.like_word[w,] if at < place)
+        found = {at for at, n in hits.items() if n >= min(len(name.words), len(self.names[at].words))}
+        found |= {at for at in self.like_joined["".join(name.words),] if at < place}
+        return sorted(found)
+
+
 def _shard_links(forms: DataFrame, crowd: int, batch_rows: int = 20_000) -> DataFrame:
     """(kind, x, y, level): in each shard, 'ii' pairs of identifiers of one entity, 'ni' names and identifiers that agree, 'nn' names that agree."""
 
@@ -368,32 +396,25 @@ def _shard_links(forms: DataFrame, crowd: int, batch_rows: int = 20_000) -> Data
         group.sort(key=lambda r: (-r[4], r[0]))
         names = [Name.of_key(r[1]) for r in group]
         nodes, idents, masks = ([r[i] for r in group] for i in (0, 2, 3))
-        trie, leaders, brief = Trie(), [], []
-        leaders_of: dict[str, int] = {}
-        for at in sorted(range(len(names)), key=lambda i: (not idents[i], -names[i].completeness, i)):
-            name = names[at]
-            near = trie.near(name.letters, 2)
-            loose = len(name.given) == 1 or name.initials
-            for i in sorted(near | set(leaders if loose else brief)):
-                level = agreement(name, names[i])
+        order = sorted(range(len(names)), key=lambda i: (not idents[i], -names[i].completeness, i))
+        partners = _Partners([names[i] for i in order])
+        for place, at in enumerate(order):
+            for i in (order[x] for x in partners.before(place)):
+                a, b = idents[at], idents[i]
+                if a and b:
+                    if a == b or distance(a, b, 1) > 1:
+                        continue
+                elif masks[at] and (b and masks[at] not in b or masks[i] and masks[at] != masks[i]):
+                    continue
+                level = agreement(names[at], names[i])
                 if level is None:
                     continue
-                a, b = idents[at], idents[i]
                 if a and b:
-                    if a != b and distance(a, b, 1) <= 1:
-                        yield ("ii", min(a, b), max(a, b), level)
+                    yield ("ii", min(a, b), max(a, b), level)
                 elif b:
-                    if not masks[at] or masks[at] in b:
-                        yield ("ni", nodes[at], b, level)
-                elif not (masks[at] and masks[i] and masks[at] != masks[i]):
+                    yield ("ni", nodes[at], b, level)
+                else:
                     yield ("nn", nodes[at], nodes[i], level)
-            mark = idents[at] or nodes[at]
-            if leaders_of.get(mark, 0) < 4:
-                leaders_of[mark] = leaders_of.get(mark, 0) + 1
-                trie.add(name.letters, at)
-                leaders.append(at)
-                if loose:
-                    brief.append(at)
 
     def link(table: pa.Table) -> pa.Table:
         shards: dict[tuple, list[tuple]] = {}

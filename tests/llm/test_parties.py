@@ -98,5 +98,18 @@ def test_crowded_shards_are_dealt(spark):
     assert found.select("entity").distinct().count() == 1
 
 
+def test_permuted_and_mistyped_words_are_compared(spark):
+    rows = [
+        (1, "Duralindo Sarlanrolo Transportes Ltda", "11.700.563/0001-69", "", ""),
+        (2, "Sarlanrolo Duralindo Transp.", None, "", ""),
+        (3, "Camila Torneste Durnalannzo", "194.371.792-98", "", ""),
+        (4, "Camila Durnalannzo Torneste", None, "", ""),
+        (5, "Camila Tornesta Durmalanco Vespatia", "301.222.333-44", "", ""),
+        (6, "Camila Tornasta Durnalamco Vespatia", None, "", ""),  # three errors
+    ]
+    found = {r.party_id: r.entity for r in entities(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found[1] == found[2] and found[3] == found[4] and found[5] == found[6] and len(set(found.values())) == 3
+
+
 def test_empty_table(spark):
     assert entities(spark.createDataFrame([], SCHEMA)).count() == 0
