@@ -48,7 +48,6 @@ NICKNAMES = {
     "dri": "adriana", "dea": "andrea", "nica": "monica", "vero": "veronica", "ro": "rosangela", "rosinha": "rosa", "verinha": "vera", "claudinha": "claudia", "sandrinha": "sandra",
     "marcinha": "marcia", "raimundinho": "raimundo", "dinha": "benedita", "dita": "benedita", "manu": "manuel", "tete": "teresa", "mundico": "raimundo", "teca": "teresa", "soninha": "sonia",
 }
-HUBS = 64
 _TITLE = re.compile(rf"^[\W_]*(?:(?:{'|'.join(sorted(TITLES))})\b\.?\W*(?:de\s+)?)+")
 _TOKEN = re.compile(r"[a-z0-9]+\.?")
 
@@ -395,11 +394,14 @@ def _shard_links(forms: DataFrame, crowd: int, batch_rows: int = 20_000) -> Data
     def link_shard(group: list[tuple]) -> Iterator[tuple]:
         group.sort(key=lambda r: (-r[4], r[0]))
         names = [Name.of_key(r[1]) for r in group]
-        nodes, idents, masks = ([r[i] for r in group] for i in (0, 2, 3))
+        nodes, idents, masks, sides = ([r[i] for r in group] for i in (0, 2, 3, 5))
+        two = len(set(sides)) > 1
         order = sorted(range(len(names)), key=lambda i: (not idents[i], -names[i].completeness, i))
         partners = _Partners([names[i] for i in order])
         for place, at in enumerate(order):
             for i in (order[x] for x in partners.before(place)):
+                if two and sides[at] == sides[i]:  # they meet where their part is alone
+                    continue
                 a, b = idents[at], idents[i]
                 if a and b:
                     if a == b or distance(a, b, 1) > 1:
@@ -418,7 +420,7 @@ def _shard_links(forms: DataFrame, crowd: int, batch_rows: int = 20_000) -> Data
 
     def link(table: pa.Table) -> pa.Table:
         shards: dict[tuple, list[tuple]] = {}
-        for shard, part, *row in zip(*(table.column(c).to_pylist() for c in ("shard", "part", "node", "name", "ident", "mask", "n")), strict=True):
+        for shard, part, *row in zip(*(table.column(c).to_pylist() for c in ("shard", "part", "node", "name", "ident", "mask", "n", "side")), strict=True):
             shards.setdefault((shard, part), []).append(tuple(row))
         best: dict[tuple, int] = {}
         for group in shards.values():
@@ -429,14 +431,11 @@ def _shard_links(forms: DataFrame, crowd: int, batch_rows: int = 20_000) -> Data
     sharded = forms.mapInPandas(spread, "shard string, node string, name string, ident string, mask string, n long")
     parts = sharded.groupBy("shard").agg(F.count(F.lit(1)).alias("count")).where("count > 1").withColumn("parts", F.ceil(F.col("count") / crowd))
     sized = sharded.join(parts.select("shard", "parts"), "shard")
-    # A crowded shard is dealt over parts; its most frequent names, which the others are variants of, go to each part.
-    first = Window.partitionBy("shard").orderBy(F.col("n").desc(), "node", "ident")
-    hubs = sized.where("parts > 1").withColumn("place", F.row_number().over(first)).where(F.col("place") <= HUBS).drop("place")
-    dealt = sized.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
-    everywhere = hubs.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    placed = dealt.unionByName(everywhere).drop("parts").dropDuplicates(["shard", "part", "node", "ident"])
+    # A crowded shard is dealt into sides, and each two sides meet in a part of their own.
+    dealt = sized.withColumn("side", F.pmod(F.xxhash64("node", "ident"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    placed = dealt.withColumn("part", F.greatest("side", "other") * F.col("parts") + F.least("side", "other")).drop("parts", "other")
     # Shards are small and many: a task takes a batch of whole ones.
-    batches = max(1, (parts.agg(F.sum("count").alias("n")).first().n or 0) // batch_rows)
+    batches = max(1, (parts.agg(F.sum(F.col("count") * F.col("parts")).alias("n")).first().n or 0) // batch_rows)
     batched = placed.withColumn("batch", F.pmod(F.xxhash64("shard", "part"), F.lit(batches)))
     return batched.groupBy("batch").applyInArrow(link, "kind string, x string, y string, level int").groupBy("kind", "x", "y").agg(F.min("level").alias("level"))
 

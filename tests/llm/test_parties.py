@@ -111,5 +111,16 @@ def test_permuted_and_mistyped_words_are_compared(spark):
     assert found[1] == found[2] and found[3] == found[4] and found[5] == found[6] and len(set(found.values())) == 3
 
 
+def test_rare_forms_of_a_crowded_shard_meet(spark):
+    """Each of 150 identified relatives has a row without identifier; all of them crowd into one shard."""
+    letters = "bcdfghjlmnprstvz"
+    given = [f"{a}e{b}o{c}ax" for a in letters[:6] for b in letters[:5] for c in letters[:5]]
+    rows = [(i, f"{g} Torneste Durnalannzo", f"{10000000000 + 7919 * 13 * i}", "", "") for i, g in enumerate(given)]
+    rows += [(1000 + i, f"{g} Durnalannzo Torneste", None, "", "") for i, g in enumerate(given)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    dealt, whole = ({(r.party_id, r.entity) for r in entities(df, **x).collect()} for x in ({"crowd": 10}, {}))
+    assert dealt == whole
+
+
 def test_empty_table(spark):
     assert entities(spark.createDataFrame([], SCHEMA)).count() == 0
