@@ -1,7 +1,7 @@
 """Variant spellings of names that refer to one person or company.
 
 A name is parsed into given names, surnames and initials, or into a company's own words and its line of business.
-Rows with a usable identifier form a cluster for each identifier, named by its few most complete forms; rows without
+Rows with a usable identifier form a cluster for each identifier, named by all of its forms; rows without
 one collapse by parsed name and mask. Names are sharded by pairs of their words (and of word ends, for two typing
 errors); in each shard tries of the names' words are traversed with a Levenshtein automaton, and the names
 whose words are alike in any order, or alike when joined, are checked over the orders of their words. Clusters are joined when
@@ -440,7 +440,7 @@ def _shard_links(forms: DataFrame, crowd: int, batch_rows: int = 20_000) -> Data
     return batched.groupBy("batch").applyInArrow(link, "kind string, x string, y string, level int").groupBy("kind", "x", "y").agg(F.min("level").alias("level"))
 
 
-def entities(rows: DataFrame, forms_kept: int = 4, crowd: int = 4000) -> DataFrame:
+def entities(rows: DataFrame, crowd: int = 4000) -> DataFrame:
     """(party_id, entity): the rows of one person or company share their entity. `rows` has party_id, name, raw_identifier.
 
     Defined results: a null or blank name without a usable identifier is an entity of its own; fillers and masks are no
@@ -450,12 +450,8 @@ def entities(rows: DataFrame, forms_kept: int = 4, crowd: int = 4000) -> DataFra
     read = cut(parsed(rows.where("party_id IS NOT NULL")))
     spelled = read.withColumn("node", F.concat_ws("#", F.col("name"), F.col("mask")))
     spelled = spelled.withColumn("blank", F.col("name").rlike(r"^.\|+$"))
-    kept = Window.partitionBy("ident").orderBy(F.col("rank").desc(), F.col("n").desc(), "name")
-    rank = 10 * F.size(F.split(F.element_at(F.split("name", r"\|"), 5), " ")) + F.when(F.length(F.element_at(F.split("name", r"\|"), 2)) > 1, 10).otherwise(0) + F.least(F.col("n"), F.lit(8))
     counted = spelled.where("NOT blank").groupBy("node", "name", "ident", "mask").agg(F.count(F.lit(1)).alias("n"))
-    strong = counted.where("ident <> ''").withColumn("rank", rank).withColumn("place", F.row_number().over(kept)).where(F.col("place") <= forms_kept)
-    forms = strong.select("node", "name", "ident", "mask", "n").unionByName(counted.where("ident = ''"))
-    links = cut(_shard_links(forms, crowd))
+    links = cut(_shard_links(counted, crowd))
     joined = connected_components(links.where("kind = 'ii'"), "x", "y").select(F.col("node").alias("ident"), F.col("component").alias("family"))
     offers = links.where("kind = 'ni'").select(F.col("x").alias("node"), F.col("y").alias("ident"), "level").join(joined, "ident", "left").withColumn("family", F.coalesce("family", "ident"))
     # The best level at which a name fits exactly one identified entity.

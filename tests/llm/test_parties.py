@@ -122,5 +122,11 @@ def test_rare_forms_of_a_crowded_shard_meet(spark):
     assert dealt == whole
 
 
+def test_all_forms_of_an_identifier_are_matched(spark):
+    forms = ["Camila Torneste Durnalannzo Vespatia", "Camila Torneste Durnalannzo Norilho", "Camila Torneste Durnalannzo Belvaste", "Camila Torneste Durnalannzo Solrao", "Camila Lindurao Narcolau"]
+    rows = [(i, f, "194.371.792-98", "", "") for i, f in enumerate(forms)] + [(10, "Camila Lindurao Narcolau", None, "", "")]
+    assert entities(spark.createDataFrame(rows, SCHEMA)).select("entity").distinct().count() == 1
+
+
 def test_empty_table(spark):
     assert entities(spark.createDataFrame([], SCHEMA)).count() == 0
