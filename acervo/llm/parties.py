@@ -303,18 +303,24 @@ def agreement(p: Name, q: Name) -> int | None:
 
 
 def shard_keys(n: Name) -> set[str]:
-    """Places where variants of a name meet: pairs of whole words, and of a word with an end of another."""
+    """Places where variants of a name meet: pairs of whole words, of a word with an end of another, of an initial with an end of a surname; ends of companies' words."""
     words = n.words
     if n.kind == "p":
         full = [*([n.given] if len(n.given) > 1 else []), *words]
         keys = {"p " + " ".join(sorted(x)) for x in combinations(full, 2)}
         for a, b in permutations(words, 2):
             keys |= {f"p {a} {b[:3]}^", f"p {a} {b[-3:]}$"}
+        # Also for one surname, a lone initial, or an error in either word.
+        for w in words:
+            keys |= {f"p {n.given[:1]} {w[:3]}^", f"p {n.given[:1]} {w[-3:]}$"}
+            if len(n.given) > 1:
+                keys |= {f"p {w} {n.given[:3]}^", f"p {w} {n.given[-3:]}$"}
         if len(words) >= 2:
             keys |= {f"p {n.given[:1]} " + " ".join(sorted(w[:3] for w in words)), f"p {n.given[:1]} " + " ".join(sorted(w[-3:] for w in words)) + "$"}
         return keys
     keys = {"c " + " ".join(sorted(x)) for x in combinations(words, 2)}
     for w in words:
+        keys |= {f"c {w[:4]}^", f"c {w[-4:]}$"}  # one may leave out its business
         for h in n.business or ("",):
             keys |= {f"c {w} {h}", f"c {w[:4]}^ {h}", f"c {w[-4:]}$ {h}"}
     return keys

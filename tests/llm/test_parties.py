@@ -128,5 +128,19 @@ def test_all_forms_of_an_identifier_are_matched(spark):
     assert entities(spark.createDataFrame(rows, SCHEMA)).select("entity").distinct().count() == 1
 
 
+def test_short_names_meet(spark):
+    rows = [
+        (1, "Camila Durnalannzo", "194.371.792-98", "", ""),
+        (2, "Camila Durnalanzzo", None, "", ""),
+        (3, "Sergio Vespatia", "301.222.333-44", "", ""),
+        (4, "S. Vespatia", None, "", ""),
+        (5, "Sarlanrolo Transportes Ltda", "11.700.563/0001-69", "", ""),
+        (6, "Sarlanrolo Ltda", None, "", ""),
+        (7, "Camila Durmalannzo", None, "", ""),
+    ]
+    found = {r.party_id: r.entity for r in entities(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found[1] == found[2] == found[7] and found[3] == found[4] and found[5] == found[6] and len(set(found.values())) == 3
+
+
 def test_empty_table(spark):
     assert entities(spark.createDataFrame([], SCHEMA)).count() == 0
