@@ -13,16 +13,17 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations, permutations
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from acervo.llm.automata import LONGEST, Forest, letters
 from acervo.operators.graph import connected_components
 from acervo.session import cut
 
@@ -357,96 +358,195 @@ def parsed(rows: DataFrame) -> DataFrame:
     return rows.select("party_id", "name", "raw_identifier").mapInPandas(read, "party_id long, name string, ident string, mask string")
 
 
-class _Partners:
-    """Which names of a list can agree with one of it: their joined words are near, or each word of the shorter has an alike one."""
+def _runs(counts: np.ndarray) -> np.ndarray:
+    """0..n-1 for each n of counts, one after the other."""
+    return np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+class _Lists:
+    """Values grouped by key 0..size-1."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, size: int) -> None:
+        order = np.argsort(keys, kind="stable")
+        self.values = values[order]
+        self.counts = np.bincount(keys, minlength=size)
+        self.first = np.cumsum(self.counts) - self.counts
+
+    def of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position in keys, value), all values of each key."""
+        counts = self.counts[keys]
+        return np.repeat(np.arange(len(keys)), counts), self.values[np.repeat(self.first[keys], counts) + _runs(counts)]
+
+
+def _alike_entries(spaces: np.ndarray, texts: list[str], most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(entry, entry) in one space whose texts are within the `most` of both: automata run down the tries of the spaces."""
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    short = np.flatnonzero(sizes <= LONGEST)
+    codes, lengths = letters([texts[i] for i in short])
+    forest = Forest(spaces[short], codes, lengths)
+    found = [(np.arange(len(texts)), np.arange(len(texts)))]
+    for k in np.unique(most[short]).tolist():
+        asked = np.flatnonzero(most[short] == k) if k else np.zeros(0, dtype=np.int64)
+        for q, w, d in forest.near(spaces[short][asked], codes[asked], lengths[asked], k):
+            q, w = short[asked[q]], short[w]
+            fits = (d <= most[w]) & (q != w)
+            found.append((q[fits], w[fits]))
+    tries: dict[int, Trie] = {}  # words beyond what an automaton's table can index
+    for i in np.flatnonzero(sizes > LONGEST - 4).tolist():
+        tries.setdefault(int(spaces[i]), Trie()).add(texts[i], i)
+    for i in np.flatnonzero(sizes > LONGEST).tolist():
+        near = np.array([j for j in tries[int(spaces[i])].near(texts[i], int(most[i])) if j != i], dtype=np.int64)
+        found += [(np.full(len(near), i), near), (near, np.full(len(near), i))]
+    pairs = np.unique(np.stack([np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])], axis=1), axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def _meeting(shards: np.ndarray, rows: list[str], open_rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of rows (name keys) of one shard that can agree, of which one is open: alike in given name and in each word of the shorter, or in the joined words."""
+    count = len(rows)
+    parsed_names = {k: Name.of_key(k) for k in set(rows)}
+    names = [parsed_names[k] for k in rows]
+    person = np.array([n.kind == "p" for n in names], dtype=bool)
+    sizes, initials = np.array([len(n.words) for n in names]), np.array([len(n.initials) for n in names])
+    # Elements of a row: its words (space 0), its given name (1), its words joined (2).
+    flat = [(i, 0, w) for i, n in enumerate(names) for w in n.words] + [(i, 1, n.given) for i, n in enumerate(names) if n.kind == "p"] + [(i, 2, "".join(n.words)) for i, n in enumerate(names)]
+    owner, kind = np.array([f[0] for f in flat]), np.array([f[1] for f in flat])
+    numbers: dict[tuple, int] = {}
+    entry = np.array([numbers.setdefault((s, k, t), len(numbers)) for s, (_, k, t) in zip(shards[owner].tolist(), flat, strict=True)])
+    keys = list(numbers)
+    spaces, texts, kinds = np.array([3 * s + k for s, k, _ in keys]), [t for *_, t in keys], np.array([k for _, k, _ in keys])
+    of_person = np.zeros(len(keys), dtype=bool)
+    of_person[entry] = person[owner]
+    most = np.array([slack(t) for t in texts])
+    lengths = np.array([len(t) for t in texts])
+    most = np.where(kinds == 2, np.where(of_person, 1, np.minimum(2, lengths // 5)), most)
+    x, y = _alike_entries(spaces, texts, most)
+    # An initial stands for each given name that begins with it.
+    at = np.flatnonzero(kinds == 1)
+    heads = {}
+    for i in at.tolist():
+        heads.setdefault((spaces[i], texts[i][:1]), ([], []))[len(texts[i]) > 1].append(i)
+    both = [(i, j) for lone, full in heads.values() for i in lone for j in full]
+    if both:
+        both = np.array(both)
+        x, y = np.concatenate([x, both[:, 0], both[:, 1]]), np.concatenate([y, both[:, 1], both[:, 0]])
+    total = len(keys)
+    like, rows_of = _Lists(x, y, total), _Lists(entry, owner, total)
+    weight = np.bincount(x, weights=rows_of.counts[y], minlength=total)
+    pairs = np.unique(x * total + y)
+
+    def joined_by(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if not len(pairs):
+            return np.zeros(len(a), dtype=bool)
+        wanted = a * total + b
+        return (a >= 0) & (b >= 0) & (pairs[np.minimum(np.searchsorted(pairs, wanted), len(pairs) - 1)] == wanted)
+
+    def table(k: int, width: int) -> np.ndarray:
+        out = np.full((count, width), -1)
+        mine = np.flatnonzero(kind == k)
+        place = _runs(np.bincount(owner[mine], minlength=count)) if len(mine) else mine
+        mine = mine[np.argsort(owner[mine], kind="stable")]
+        fits = place < width
+        out[owner[mine[fits]], place[fits]] = entry[mine[fits]]
+        return out
+
+    words, given, whole = table(0, 5), table(1, 1)[:, 0], table(2, 1)[:, 0]
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    for joined in (False, True):
+        # Each row asks through its element that the fewest rows have alike.
+        asked = np.concatenate([whole[:, None] if joined else words, given[:, None]], axis=1)
+        cost = np.where(asked >= 0, weight[asked], np.inf)
+        rarest = asked[np.arange(count), cost.argmin(axis=1)]
+        askers = np.flatnonzero(np.isfinite(cost.min(axis=1)) & (sizes > 0))
+        heavy = np.cumsum(weight[rarest[askers]])
+        for part in np.split(askers, np.searchsorted(heavy, np.arange(2e6, heavy[-1], 2e6))) if len(askers) else ():
+            at, near = like.of(rarest[part])
+            back, b = rows_of.of(near)
+            a = part[at[back]]
+            ok = (a != b) & (open_rows[a] | open_rows[b]) & (sizes[b] > 0) & (person[a] == person[b])
+            if joined:
+                ok &= (a < b) & ((sizes[a] > 1) | (sizes[b] > 1))
+            else:
+                more = sizes[b] - sizes[a]
+                ok &= np.where(person[a], (more >= 0) & (more <= initials[a]), more == 0) & ((more > 0) | (a < b))
+            a, b = a[ok], b[ok]
+            ok = ~person[a] | joined_by(given[a], given[b])
+            a, b = a[ok], b[ok]
+            if joined:
+                ok = joined_by(whole[a], whole[b])
+                a, b = a[ok], b[ok]
+            else:
+                for i in range(words.shape[1]):
+                    ok = (words[a, i] < 0) | (sizes[b] > words.shape[1])
+                    for j in range(words.shape[1]):
+                        ok |= joined_by(words[a, i], words[b, j])
+                    a, b = a[ok], b[ok]
+            out.append((a, b))
+    return np.concatenate([a for a, _ in out] or [np.zeros(0, dtype=np.int64)]), np.concatenate([b for _, b in out] or [np.zeros(0, dtype=np.int64)])
+
+
+def _in_batches(sharded: DataFrame, crowd: int, batch_rows: int, meet, text: str) -> DataFrame:
+    """Distinct (x, y), x < y, of `meet` over batches of whole shards. `sharded` has shard, `text` and open; shards without an open row have no meeting.
+
+    A shard above `crowd` rows is dealt into sides and each two sides meet in a part of their own.
+    """
+    parts = sharded.groupBy("shard").agg(F.count(F.lit(1)).alias("count"), F.max("open").alias("any")).where("count > 1 AND any").withColumn("parts", F.ceil(F.col("count") / crowd))
+    parts = cut(parts.select("shard", "count", "parts"))
+    sized = sharded.join(parts.select("shard", "parts"), "shard")
+    dealt = sized.withColumn("side", F.pmod(F.xxhash64(text), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    placed = dealt.withColumn("part", F.greatest("side", "other") * F.col("parts") + F.least("side", "other"))
+    batches = max(1, (parts.agg(F.sum(F.col("count") * F.col("parts")).alias("n")).first().n or 0) // batch_rows)
+    batched = placed.select("shard", "part", text, "open", F.pmod(F.xxhash64("shard", "part"), F.lit(batches)).alias("batch"))
+
+    def link(table: pa.Table) -> pa.Table:
+        numbers: dict[tuple, int] = {}
+        shards = np.array([numbers.setdefault(s, len(numbers)) for s in zip(table.column("shard").to_pylist(), table.column("part").to_pylist(), strict=True)])
+        rows = table.column(text).to_pylist()
+        a, b = meet(shards, rows, table.column("open").to_numpy())
+        found = list({(rows[i], rows[j]) if rows[i] < rows[j] else (rows[j], rows[i]) for i, j in zip(a.tolist(), b.tolist(), strict=True)})
+        return pa.table({"x": pa.array([x for x, _ in found], pa.string()), "y": pa.array([y for _, y in found], pa.string())})
+
+    return batched.groupBy("batch").applyInArrow(link, "x string, y string").where("x < y").distinct()
 
-    def __init__(self, names: list[Name]) -> None:
-        self.names = names
-        self.words, self.joined = Trie(), Trie()
-        self.with_word: dict[str, list[int]] = {}
-        self.with_joined: dict[str, list[int]] = {}
-        for at, name in enumerate(names):
-            for w in set(name.words):
-                self.with_word.setdefault(w, []).append(at)
-            self.with_joined.setdefault("".join(name.words), []).append(at)
-        self.all_words, self.all_joined = list(self.with_word), list(self.with_joined)
-        for trie, texts in ((self.words, self.all_words), (self.joined, self.all_joined)):
-            for i, text in enumerate(texts):
-                trie.add(text, i)
-        self.like_word, self.like_joined = Memo(self._like_word), Memo(self._like_joined)
 
-    def _like_word(self, word: str) -> set[int]:
-        return {at for i in self.words.near(word, slack(word)) if alike(word, self.all_words[i]) for at in self.with_word[self.all_words[i]]}
+def name_links(names: DataFrame, crowd: int, batch_rows: int = 40_000, verify_rows: int = 20_000) -> DataFrame:
+    """(x, y, level), x < y: names that agree, of which one at least is open. `names` has name (distinct) and open.
 
-    def _like_joined(self, joined: str) -> set[int]:
-        return {at for i in self.joined.near(joined, 2) for at in self.with_joined[self.all_joined[i]]}
+    The pairs of all shards are made distinct before agreement is decided, so that each is decided once.
+    """
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(k, n, o) for n, o in zip(batch.name, batch.open, strict=True) for k in shard_keys(Name.of_key(n))], columns=["shard", "name", "open"])
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            levels = [agreement(Name.of_key(x), Name.of_key(y)) for x, y in zip(batch.x, batch.y, strict=True)]
+            yield pd.DataFrame({"x": batch.x, "y": batch.y, "level": pd.array(levels, dtype="Int32")}).dropna()
 
-    def before(self, place: int) -> list[int]:
-        name = self.names[place]
-        hits = Counter(at for w in name.words for at in self.like_word[w,] if at < place)
-        found = {at for at, n in hits.items() if n >= min(len(name.words), len(self.names[at].words))}
-        found |= {at for at in self.like_joined["".join(name.words),] if at < place}
-        return sorted(found)
+    met = cut(_in_batches(names.select("name", "open").mapInPandas(spread, "shard string, name string, open boolean"), crowd, batch_rows, _meeting, "name"))
+    return met.repartition(max(1, met.count() // verify_rows)).mapInPandas(decide, "x string, y string, level int")
 
 
-def _shard_links(forms: DataFrame, crowd: int, batch_rows: int = 20_000) -> DataFrame:
-    """(kind, x, y, level): in each shard, 'ii' pairs of identifiers of one entity, 'ni' names and identifiers that agree, 'nn' names that agree."""
+def identifier_links(idents: DataFrame, crowd: int, batch_rows: int = 100_000) -> DataFrame:
+    """(x, y), x < y: identifiers one typing error apart. `idents` has ident (distinct).
+
+    One error leaves the first or the last half whole, so identifiers meet by halves; automata run down the tries of each meeting.
+    """
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(k, *r) for r in batch[["node", "name", "ident", "mask", "n"]].itertuples(index=False) for k in shard_keys(Name.of_key(r[1]))]
-            yield pd.DataFrame(rows, columns=["shard", "node", "name", "ident", "mask", "n"])
-
-    def link_shard(group: list[tuple]) -> Iterator[tuple]:
-        group.sort(key=lambda r: (-r[4], r[0]))
-        names = [Name.of_key(r[1]) for r in group]
-        nodes, idents, masks, sides = ([r[i] for r in group] for i in (0, 2, 3, 5))
-        two = len(set(sides)) > 1
-        order = sorted(range(len(names)), key=lambda i: (not idents[i], -names[i].completeness, i))
-        partners = _Partners([names[i] for i in order])
-        for place, at in enumerate(order):
-            for i in (order[x] for x in partners.before(place)):
-                if two and sides[at] == sides[i]:  # they meet where their part is alone
-                    continue
-                a, b = idents[at], idents[i]
-                if a and b:
-                    if a == b or distance(a, b, 1) > 1:
-                        continue
-                elif masks[at] and (b and masks[at] not in b or masks[i] and masks[at] != masks[i]):
-                    continue
-                level = agreement(names[at], names[i])
-                if level is None:
-                    continue
-                if a and b:
-                    yield ("ii", min(a, b), max(a, b), level)
-                elif b:
-                    yield ("ni", nodes[at], b, level)
-                else:
-                    yield ("nn", nodes[at], nodes[i], level)
+            rows = [(f"{side}{x[:n] if side == '^' else x[-n:]}", x, True) for x in batch.ident for n in {(len(x) - 2) // 2, (len(x) - 1) // 2} for side in "^$"]
+            yield pd.DataFrame(rows, columns=["shard", "ident", "open"])
 
-    def link(table: pa.Table) -> pa.Table:
-        shards: dict[tuple, list[tuple]] = {}
-        for shard, part, *row in zip(*(table.column(c).to_pylist() for c in ("shard", "part", "node", "name", "ident", "mask", "n", "side")), strict=True):
-            shards.setdefault((shard, part), []).append(tuple(row))
-        best: dict[tuple, int] = {}
-        for group in shards.values():
-            for kind, x, y, level in link_shard(group) if len(group) > 1 else ():
-                best[kind, x, y] = min(level, best.get((kind, x, y), level))
-        return pa.table({"kind": pa.array([k for k, _, _ in best], pa.string()), "x": pa.array([x for _, x, _ in best], pa.string()), "y": pa.array([y for _, _, y in best], pa.string()), "level": pa.array(list(best.values()), pa.int32())})
-
-    sharded = forms.mapInPandas(spread, "shard string, node string, name string, ident string, mask string, n long")
-    parts = sharded.groupBy("shard").agg(F.count(F.lit(1)).alias("count")).where("count > 1").withColumn("parts", F.ceil(F.col("count") / crowd))
-    sized = sharded.join(parts.select("shard", "parts"), "shard")
-    # A crowded shard is dealt into sides, and each two sides meet in a part of their own.
-    dealt = sized.withColumn("side", F.pmod(F.xxhash64("node", "ident"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    placed = dealt.withColumn("part", F.greatest("side", "other") * F.col("parts") + F.least("side", "other")).drop("parts", "other")
-    # Shards are small and many: a task takes a batch of whole ones.
-    batches = max(1, (parts.agg(F.sum(F.col("count") * F.col("parts")).alias("n")).first().n or 0) // batch_rows)
-    batched = placed.withColumn("batch", F.pmod(F.xxhash64("shard", "part"), F.lit(batches)))
-    return batched.groupBy("batch").applyInArrow(link, "kind string, x string, y string, level int").groupBy("kind", "x", "y").agg(F.min("level").alias("level"))
+    def meet(shards: np.ndarray, rows: list[str], _: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a, b = _alike_entries(shards, [r.lower() for r in rows], np.ones(len(rows), dtype=np.int64))
+        return a[a < b], b[a < b]
+
+    return _in_batches(idents.select("ident").mapInPandas(spread, "shard string, ident string, open boolean").distinct(), crowd, batch_rows, meet, "ident")
 
 
-def entities(rows: DataFrame, crowd: int = 4000) -> DataFrame:
+def entities(rows: DataFrame, crowd: int = 20_000) -> DataFrame:
     """(party_id, entity): the rows of one person or company share their entity. `rows` has party_id, name, raw_identifier.
 
     Defined results: a null or blank name without a usable identifier is an entity of its own; fillers and masks are no
@@ -454,22 +554,45 @@ def entities(rows: DataFrame, crowd: int = 4000) -> DataFrame:
     rows share their entity; an empty table gives none.
     """
     read = cut(parsed(rows.where("party_id IS NOT NULL")))
-    spelled = read.withColumn("node", F.concat_ws("#", F.col("name"), F.col("mask")))
-    spelled = spelled.withColumn("blank", F.col("name").rlike(r"^.\|+$"))
-    counted = spelled.where("NOT blank").groupBy("node", "name", "ident", "mask").agg(F.count(F.lit(1)).alias("n"))
-    links = cut(_shard_links(counted, crowd))
-    joined = connected_components(links.where("kind = 'ii'"), "x", "y").select(F.col("node").alias("ident"), F.col("component").alias("family"))
-    offers = links.where("kind = 'ni'").select(F.col("x").alias("node"), F.col("y").alias("ident"), "level").join(joined, "ident", "left").withColumn("family", F.coalesce("family", "ident"))
-    # The best level at which a name fits exactly one identified entity.
-    fits = offers.groupBy("node", "family").agg(F.min("level").alias("level")).groupBy("node", "level").agg(F.count(F.lit(1)).alias("n"), F.min("family").alias("family"))
+    spelled = read.withColumn("node", F.concat_ws("#", F.col("name"), F.col("mask"))).withColumn("blank", F.col("name").rlike(r"^.\|+$"))
+    forms = cut(spelled.where("NOT blank").select("node", "name", "ident", "mask").distinct())
+    names = forms.groupBy("name").agg(F.max(F.col("ident") == "").alias("open"))
+    links = cut(name_links(names, crowd))
+
+    # Identifiers one error apart are one entity where names of both agree.
+    held = forms.where("ident <> ''").select("ident", "name").distinct()
+    near = identifier_links(held.select("ident").distinct(), crowd)
+    named = near.join(held.select(F.col("ident").alias("x"), F.col("name").alias("name_x")), "x").join(held.select(F.col("ident").alias("y"), F.col("name").alias("name_y")), "y")
+    kin = cut(named.mapInPandas(_of_agreeing_names, "x string, y string").distinct())
+    joined = connected_components(kin, "x", "y").select(F.col("node").alias("ident"), F.col("component").alias("family"))
+    housed = held.join(joined, "ident", "left").withColumn("family", F.coalesce("family", "ident"))
+
+    # What agrees with a name without identifier: the families that bear the other name, or of a masked one those of them that hold its visible part.
+    both = links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"), "level")).unionByName(names.where("open").select(F.col("name").alias("x"), F.col("name").alias("y"), F.lit(0).alias("level")))
+    nodes = forms.where("ident = ''").select("node", "name", "mask").distinct()
+    asked = nodes.join(both.withColumnRenamed("x", "name"), "name")
+    borne = housed.groupBy(F.col("name").alias("y")).agg(F.min("family").alias("first"), F.max("family").alias("last"))
+    plain = asked.where("mask = ''").join(borne, "y").select("node", "level", "first", "last")
+    masked = asked.where("mask <> ''").select("node", "mask", "y", "level")
+    shown = F.expr("array_distinct(flatten(transform(sequence(5, length(ident)), n -> transform(sequence(1, length(ident) - n + 1), i -> substring(ident, i, n)))))")
+    parts_of = housed.join(masked.select(F.col("y").alias("name")).distinct(), "name", "left_semi").select(F.col("name").alias("y"), "family", F.explode(shown).alias("mask"))
+    veiled = masked.join(parts_of, ["y", "mask"]).select("node", "level", F.col("family").alias("first"), F.col("family").alias("last"))
+    fits = plain.unionByName(veiled).groupBy("node", "level").agg(F.min("first").alias("family"), F.max("last").alias("last"))
+    # The best level at which a name fits any family places it, if it is one family only.
     best = Window.partitionBy("node").orderBy("level")
-    placed = fits.withColumn("place", F.row_number().over(best)).where("place = 1")
-    taken = placed.where("n = 1").select("node", "family")
-    alike_names = links.where("kind = 'nn'").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    placed = cut(fits.withColumn("place", F.row_number().over(best)).where("place = 1"))
+    taken = placed.where("family = last").select("node", "family")
+
+    # Names without identifier that agree: masks are equal or one has none.
+    left, right = (nodes.select(F.col("node").alias(s), F.col("name").alias(f"name_{s}"), F.col("mask").alias(f"mask_{s}")) for s in "ab")
+    ends = left.join(both.select(F.col("x").alias("name_a"), F.col("y").alias("name_b")), "name_a")
+    alike_names = ends.join(right, "name_b").where("a < b AND mask_a = '' OR a < b AND mask_b = ''").select("a", "b")
+    alike_names = alike_names.unionByName(ends.withColumnRenamed("mask_a", "mask_b").where("mask_b <> ''").join(right, ["name_b", "mask_b"]).where("a < b").select("a", "b"))
+    alike_names = cut(alike_names.distinct())
     # A name that fits no identified form, but a name that was placed, goes with it.
-    both = alike_names.unionByName(alike_names.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    second = both.join(placed.select(F.col("node").alias("a")), "a", "left_anti").join(taken.select(F.col("node").alias("b"), "family"), "b")
-    second = second.groupBy(F.col("a").alias("node")).agg(F.min("family").alias("family"), F.max("family").alias("last")).where("family = last").select("node", "family")
+    either = alike_names.unionByName(alike_names.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    second = either.join(placed.select(F.col("node").alias("a")), "a", "left_anti").join(taken.select(F.col("node").alias("b"), "family"), "b")
+    second = cut(second.groupBy(F.col("a").alias("node")).agg(F.min("family").alias("family"), F.max("family").alias("last")).where("family = last").select("node", "family"))
     free = alike_names
     for end in ("a", "b"):
         free = free.join(placed.select(F.col("node").alias(end)), end, "left_anti").join(second.select(F.col("node").alias(end)), end, "left_anti")
@@ -481,6 +604,12 @@ def entities(rows: DataFrame, crowd: int = 4000) -> DataFrame:
     return out.select("party_id", entity.alias("entity"))
 
 
+def _of_agreeing_names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        fits = [agreement(Name.of_key(x), Name.of_key(y)) is not None for x, y in zip(batch.name_x, batch.name_y, strict=True)]
+        yield batch.loc[fits, ["x", "y"]]
+
+
 def entity_pairs(found: DataFrame) -> DataFrame:
     """(party_id_a, party_id_b): all pairs of rows of one entity."""
     a, b = (found.distinct().select(F.col("entity").alias(f"entity_{s}"), F.col("party_id").alias(f"party_id_{s}")) for s in "ab")
