@@ -109,9 +109,9 @@ SELECT doc_id, value, row_number() OVER (PARTITION BY doc_id ORDER BY first) AS
   WHERE regexp_matches(strip_accents(lower(hierarchy_label)), 'clausula (\d{{1,3}})') GROUP BY 1, 2),
 j AS (SELECT label, CASE WHEN n = 1 THEN 'bound' WHEN n > 1 THEN 'ambiguous' ELSE 'missing' END AS state, CASE WHEN n = 1 THEN target END AS target FROM refs LEFT JOIN labels USING (doc_id, label))
 SELECT label, state, count(*) AS n, min(target) AS first_target FROM j GROUP BY ALL""",
+    # A block has one parent, so what stands above it is a line: its length is both figures.
     "parent_closure": f"""WITH RECURSIVE {_B}, e AS (SELECT block_id AS child, parent_clause_id AS parent FROM c WHERE parent_clause_id IS NOT NULL),
-up AS (SELECT child, parent, 1 AS depth FROM e UNION SELECT up.child, e.parent, up.depth + 1 FROM up JOIN e ON up.parent = e.child WHERE up.depth < 60),
-best AS (SELECT child, parent, min(depth) AS depth FROM up GROUP BY ALL) SELECT child, count(*) AS above, max(depth) AS depth FROM best GROUP BY child""",
+up AS (SELECT child, parent FROM e UNION SELECT up.child, e.parent FROM up JOIN e ON up.parent = e.child) SELECT child, count(*) AS above, count(*)::INT AS depth FROM up GROUP BY child""",
     "chunk_coverage": _COVER.format(i="unit_id", s="unit_start", e="unit_end", t="chunks"),
     "slice_coverage": _COVER.format(i="chunk_id", s="start_pos", e="end_pos", t="candidate_slices"),
     "mention_proofs": f"WITH {_B} SELECT mention_id, CASE WHEN text_raw IS NULL THEN 'no_block' WHEN substr(text_raw, start_pos + 1, end_pos - start_pos) IS NOT DISTINCT FROM raw_text THEN 'proved' ELSE 'differs' END AS state FROM temporal_mentions LEFT JOIN c USING (block_id)",

@@ -42,6 +42,24 @@ def test_closure_ends_on_cycles(spark):
     assert {r.node for r in on_cycles(df.toDF("a", "b")).collect()} == {1, 2, 3}
 
 
+def test_closure_at_any_depth(spark):
+    chain = spark.range(1000).selectExpr("id AS child", "id + 1 AS parent").unionByName(spark.range(5000, 5010).selectExpr("id AS child", "id + 1 AS parent"))
+    whole = ancestors(chain)
+    assert whole.count() == 1000 * 1001 // 2 + 55 and whole.where("depth <> parent - child").isEmpty()
+    seeded = ancestors(chain, spark.createDataFrame([(0,), (990,), (None,)], "child long"))
+    assert seeded.count() == 1010 and seeded.agg(F.max("depth")).first()[0] == 1000
+    ring = spark.range(200).selectExpr("id AS a", "(id + 1) % 200 AS b").unionByName(spark.createDataFrame([(777, 3)], "a long, b long"))
+    assert on_cycles(ring).count() == 200
+    assert ancestors(chain.where("false")).count() == 0
+
+
+def test_components_that_do_not_settle_are_an_error(spark):
+    line = spark.range(200).selectExpr("id AS a", "id + 1 AS b")
+    assert connected_components(line).select("component").distinct().count() == 1
+    with pytest.raises(RuntimeError):
+        connected_components(line, most_rounds=1)
+
+
 def test_change_capture_and_plan(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, "d")], "id int, v string")
     new = spark.createDataFrame([(1, "a"), (2, "c"), (3, None), (5, "e")], "id int, v string")
