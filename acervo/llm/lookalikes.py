@@ -22,6 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from acervo.session import cut
+
 # Letters that look alike, Latin first, then Cyrillic, then Greek ("-" where a script has none).
 LOOKALIKES = """
 A А Α | B В Β | C С - | E Е Ε | H Н Η | I І Ι | J Ј - | K К Κ | M М Μ | N - Ν | O О Ο | P Р Ρ | S Ѕ - | T Т Τ | X Х Χ
@@ -221,15 +223,49 @@ def with_reading(df: DataFrame, column: str, name: str, keep: list[str], digest_
     return source.mapInArrow(read, schema)
 
 
-def same_looking(df: DataFrame, id_col: str, column: str) -> DataFrame:
+def _lines(df: DataFrame, id_col: str, column: str) -> DataFrame:
+    """(id, seen, written), distinct, of rows with an id and a text; digests stand for the texts."""
+    lines = with_reading(df.where(F.col(f"`{id_col}`").isNotNull()), column, "seen", [id_col], digest_only=True)
+    return lines.where("seen IS NOT NULL").select(F.col(f"`{id_col}`").alias("id"), "seen", "written").distinct()
+
+
+def _of_writings(lines: DataFrame, writings: DataFrame, salts: int = 32) -> DataFrame:
+    """Lines with the columns of their writing. A writing may hold a third of all lines: its row goes to `salts` places and its lines are dealt over them."""
+    spread = writings.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return lines.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(spread, ["seen", "written", "salt"]).drop("salt")
+
+
+def looks(df: DataFrame, id_col: str, column: str) -> DataFrame:
+    """(id, class_id, writings, links): one row for each id and text: the smallest id whose text looks the same, in how many ways that look is written, and how many others are written otherwise.
+
+    Rows of equal id and text are one; an id with several texts has a row for each. Null ids and texts have none.
+    """
+    lines = cut(_lines(df, id_col, column))
+    writings = lines.groupBy("seen", "written").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    totals = writings.groupBy("seen").agg(F.sum("n").alias("total"), F.min("first").alias("class_id"), F.count(F.lit(1)).alias("writings"))
+    return _of_writings(lines, writings.join(totals, "seen")).select("id", "class_id", "writings", (F.col("total") - F.col("n")).alias("links"))
+
+
+def same_looking(df: DataFrame, id_col: str, column: str, part_rows: int = 10_000) -> DataFrame:
     """(id_a, id_b) with id_a < id_b: rows whose texts look the same but are written differently.
 
-    Rows of equal id and text are one. Readings written in one way only have no such pair and leave before the join.
-    Null ids and texts have no pair.
+    Writings meet first, one row each; looks written in one way only leave there. The lines of a writing are dealt over
+    parts of about `part_rows`, and each two parts of a pair of writings meet for themselves, so no look is one task.
+    Rows of equal id and text are one. Null ids and texts have no pair.
     """
-    lines = with_reading(df.where(F.col(f"`{id_col}`").isNotNull()), column, "seen", [id_col], digest_only=True)
-    lines = lines.where("seen IS NOT NULL").select(F.col(f"`{id_col}`").alias("id"), "seen", "written").distinct()
-    mixed = lines.groupBy("seen").agg(F.min("written").alias("lo"), F.max("written").alias("hi")).where("lo <> hi").select("seen")
-    kept = lines.join(mixed, "seen", "left_semi")
-    a, b = (kept.select("seen", F.col("id").alias(f"id_{s}"), F.col("written").alias(f"written_{s}")) for s in "ab")
-    return a.join(b, "seen").where("id_a < id_b AND written_a <> written_b").select("id_a", "id_b").distinct()
+    lines = cut(_lines(df, id_col, column))
+    writings = lines.groupBy("seen", "written").agg(F.count(F.lit(1)).alias("n"))
+    mixed = writings.groupBy("seen").agg(F.count(F.lit(1)).alias("w")).where("w > 1").select("seen")
+    writings = cut(writings.join(mixed, "seen", "left_semi"))
+    kept = cut(_of_writings(lines, writings))
+    left, right = (writings.select("seen", F.col("written").alias(f"written_{s}"), F.col("n").alias(f"n_{s}")) for s in "ab")
+    parts = lambda n: F.floor(F.col(n) / part_rows)
+    pairs = left.join(right, "seen").where("written_a < written_b").select("seen", "written_a", "written_b", F.explode(F.sequence(F.lit(0).cast("long"), parts("n_a"))).alias("part_a"), "n_b")
+    pairs = cut(pairs.select("seen", "written_a", "written_b", "part_a", F.explode(F.sequence(F.lit(0).cast("long"), parts("n_b"))).alias("part_b")))
+    dealt = kept.select("seen", "written", "id", F.pmod(F.xxhash64("id"), parts("n") + 1).alias("part"))
+    sides = []
+    for s, end in (("a", "x"), ("b", "y")):
+        own = dealt.select("seen", F.col("written").alias(f"written_{s}"), F.col("part").alias(f"part_{s}"), F.col("id").alias(end))
+        sides.append(own.join(pairs, ["seen", f"written_{s}", f"part_{s}"]))
+    met = sides[0].join(sides[1], ["seen", "written_a", "written_b", "part_a", "part_b"]).where("x <> y")
+    return met.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()

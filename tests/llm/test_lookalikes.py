@@ -1,6 +1,6 @@
 import pytest
 
-from acervo.llm.lookalikes import Readings, same_looking, with_reading
+from acervo.llm.lookalikes import Readings, looks, same_looking, with_reading
 
 PLAIN = "Cláusula 3ª – Do Preço. A parte contratante deverá pagar no prazo de 30 dias o valor do caso."
 SAME = [
@@ -43,3 +43,14 @@ def test_any_text_is_read_the_same_twice(text):
     r = Readings([{"^d": 100, "de": 100}, {"^д": 10}, {}])
     once = r.text(text)
     assert r.text(once) == once
+
+
+def test_one_look_of_a_third_of_all_rows(spark):
+    rows = [(f"{i:05d}", PLAIN if i % 3 == 0 else SAME[0] if i % 300 == 1 else f"text {i}", "", "") for i in range(1500)]
+    df = spark.createDataFrame([*rows, (None, PLAIN, "", ""), ("09999", None, "", "")], SCHEMA)
+    plain, odd = [r[0] for r in rows if r[1] == PLAIN], [r[0] for r in rows if r[1] == SAME[0]]
+    want = {(min(a, b), max(a, b)) for a in plain for b in odd}
+    assert {(r.id_a, r.id_b) for r in same_looking(df, "id", "text", part_rows=40).collect()} == want
+    told = {r.id: (r.class_id, r.writings, r.links) for r in looks(df, "id", "text").collect()}
+    assert len(told) == 1500 and told[plain[3]] == ("00000", 2, len(odd)) and told[odd[0]] == ("00000", 2, len(plain)) and told["00002"] == ("00002", 1, 0)
+    assert looks(spark.createDataFrame([], SCHEMA), "id", "text").count() == 0
