@@ -161,6 +161,15 @@ def host_priors(heads: DataFrame, strength: float = 20.0) -> DataFrame:
     return hosts.join(upper, "source").select("source", "client", share(F.col("own"), F.col("upper")).alias("prior"))
 
 
+def with_prior(heads: DataFrame, priors: DataFrame, broadcast_rows: int = 100_000, salts: int = 32) -> DataFrame:
+    """Heads with the prior of their host (source, client). Up to broadcast_rows hosts, of some 100 bytes each, travel to the heads; of more, each goes to `salts` places over which a host's heads are dealt."""
+    priors = cut(priors)
+    if priors.count() <= broadcast_rows:
+        return heads.join(F.broadcast(priors), ["source", "client"], "left")
+    spread = priors.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return heads.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(spread, ["source", "client", "salt"], "left").drop("salt")
+
+
 def _soft(scores: np.ndarray) -> np.ndarray:
     raised = np.exp(scores - scores.max(axis=1, keepdims=True))
     return raised / raised.sum(axis=1, keepdims=True)
@@ -213,7 +222,7 @@ def languages_of(documents: DataFrame, id_col: str, text: str, label: str, sourc
     for mark in [*LANGUAGES, "other"]:
         evidence = evidence.when(F.col("label") == mark, beside(mark))
     keyed = heads.withColumn("source", F.coalesce("source", F.lit(""))).withColumn("client", F.coalesce("client", F.lit("")))
-    joined = keyed.join(host_priors(heads), ["source", "client"], "left").withColumn("evidence", evidence)
+    joined = with_prior(keyed, host_priors(heads)).withColumn("evidence", evidence)
     even = F.array(*[F.lit(1.0 / len(LANGUAGES))] * len(LANGUAGES))
     joined = joined.withColumn("lead", F.transform(F.coalesce("prior", even), lambda p, i: F.log(p) + F.col("evidence")[i]))
 

@@ -61,3 +61,12 @@ def test_held_out_accuracy(spark):
     truth = {i: x for i, x in enumerate(list(TEXT) * 12)}
     right = [r.lang == truth[r.id] for r in read.collect() if r.id % 2 == 0]
     assert sum(right) / len(right) >= 0.95
+
+
+def test_a_host_of_most_rows_gets_its_prior_either_way(spark):
+    from acervo.llm.languages import with_prior
+
+    heads = spark.range(300).selectExpr("id", "if(id % 3 = 0, 'hot', cast(id % 7 AS string)) AS source", "'c' AS client")
+    priors = heads.select("source", "client").distinct().where("source <> '4'").selectExpr("source", "client", "array(double(length(source))) AS prior")
+    small, large = ({tuple(map(str, r)) for r in with_prior(heads, priors, broadcast_rows=n).select("id", "source", "client", "prior").collect()} for n in (100, 0))
+    assert small == large and len(small) == 300
