@@ -247,22 +247,35 @@ def parse(name: str) -> Name:
 
 
 def _pairing(a: tuple[str, ...], b: tuple[str, ...], a_initials: list[str], b_initials: list[str]) -> int | None:
-    """0 if the words are equal in some order, 1 with typing errors, 2 if initials stand for some; None if a word has no partner."""
+    """0 if the words are equal in some order, 1 with typing errors, 2 if initials stand for some; None if a word has no partner.
+
+    Orders are searched along alike words only, so there is no limit to the number of words.
+    """
     if len(a) > len(b):
         a, b, a_initials, b_initials = b, a, b_initials, a_initials
-    best = None
-    for order in permutations(range(len(b)), len(a)) if len(b) <= 5 else [tuple(range(len(a)))]:
-        if not all(alike(x, b[j]) for x, j in zip(a, order, strict=True)):
-            continue
-        level = int(any(x != b[j] for x, j in zip(a, order, strict=True)))
-        left, free = [b[j] for j in range(len(b)) if j not in order], list(a_initials)
-        for w in left:
-            if w[0] not in free:
-                break
-            free.remove(w[0])
-        else:
-            level = 2 if left else level
-            best = level if best is None else min(best, level)
+    partners = [sorted((j for j, y in enumerate(b) if alike(x, y)), key=lambda j, x=x: x != b[j]) for x in a]
+    turns = sorted(range(len(a)), key=lambda i: len(partners[i]))
+    best: int | None = None
+
+    def place(step: int, taken: frozenset, typed: bool) -> None:
+        nonlocal best
+        floor = 2 if len(b) > len(a) else int(typed)
+        if best is not None and best <= floor:
+            return
+        if step < len(a):
+            for j in partners[turns[step]]:
+                if j not in taken:
+                    place(step + 1, taken | {j}, typed or a[turns[step]] != b[j])
+            return
+        free = list(a_initials)
+        for j in range(len(b)):
+            if j not in taken:
+                if b[j][0] not in free:
+                    return
+                free.remove(b[j][0])
+        best = floor
+
+    place(0, frozenset(), False)
     return best
 
 
