@@ -5,6 +5,8 @@ count the tokens that start in a range; prefix sums stitch the counts to global
 for each cell of the token line, the best boundary they see; the best of all ranges is the cut. With L = limit -
 overlap, cells have H = L / (1 + slack) tokens and a cut lies in the last L - H tokens of its cell, so two
 neighbouring cuts are at most L tokens apart and no cut depends on the one before. Pieces are then read by offset.
+An item of one range needs no stitching and is cut by its worker alone. Where a range begins, white space and sentence
+marks are seen HALO characters back.
 
 A token is a run of characters other than space, tab, carriage return and line feed.
 """
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from acervo.functions.text import content_digest
 
-HALO = 64
+HALO = 256
 _TOKEN = re.compile(r"[^ \t\r\n]+")
 _PARAGRAPH = re.compile(r"\n[ \t\r]*\n")
 _SENTENCE = re.compile(r"[.!?…][\"'”’»)\]]*$")
@@ -54,17 +56,19 @@ def text_ranges(df: DataFrame, key: str, text: str, range_chars: int) -> DataFra
 
 
 def file_ranges(spark: SparkSession, paths: DataFrame, range_bytes: int) -> DataFrame:
-    """(item_key, range_no, offset, halo, body) of UTF-8 files that all workers can open; `paths` has path, n_bytes.
+    """(item_key, range_no, offset, halo, body) of UTF-8 files; `paths` has path (a URI of a file system that all workers reach, or a shared folder) and n_bytes.
 
     Each worker reads only its byte range and the halo before it, moved to the next character start; offsets are bytes.
     """
+    from pyarrow import fs
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for path, n, size in zip(batch.path, batch.range_no, batch.n_bytes, strict=True):
                 start, end = n * range_bytes, min((n + 1) * range_bytes, size)
-                with open(path, "rb") as file:
+                system, place = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+                with system.open_input_file(place) as file:
                     file.seek(low := max(0, start - 4 * HALO))
                     raw = file.read(end + 3 - low)
                 a, b = start - low, end - low
@@ -103,30 +107,60 @@ def token_bases(ranges: DataFrame, key: str) -> DataFrame:
 
 
 def _grid(limit: Column, overlap: Column, slack: float) -> dict[str, Column]:
-    shared = F.least(F.greatest(overlap, F.lit(0)), F.floor(limit / 3)).cast("int")
-    span = limit - shared
+    """Cells begin `shared` tokens into the item, so that the first piece may be as long as the others."""
+    span = limit - overlap
     cell = F.greatest(F.lit(1), F.floor(span / (1 + slack))).cast("int")
-    return {"shared": shared, "span": span, "cell": cell, "reach": F.least(span - cell, cell - 1)}
+    return {"shared": overlap, "span": span, "cell": cell, "reach": F.least(span - cell, cell - 1)}
+
+
+def _usable(df: DataFrame) -> DataFrame:
+    """Rows with a limit and an overlap that can be met; a null or negative overlap is none."""
+    shared = F.greatest(F.coalesce(F.col("overlap"), F.lit(0)), F.lit(0)).cast("int")
+    return df.withColumn("limit", F.col("limit").cast("int")).withColumn("overlap", shared).where("limit > 0 AND overlap < limit")
+
+
+def split_text(text: str, limit: int, overlap: int, slack: float = 0.25) -> list[tuple[int, int, int, int, int, str]]:
+    """(piece_no, start_token, end_token, token_count, start_offset, text) of one item that a worker holds whole: the same cells and cuts as by ranges."""
+    starts, ends = [], []
+    for m in _TOKEN.finditer(text):
+        starts.append(m.start())
+        ends.append(m.end())
+    total = len(starts)
+    if not total:
+        return []
+    span = limit - overlap
+    cell = max(1, int(span / (1 + slack)))
+    reach = min(span - cell, cell - 1)
+    cuts = 0 if total <= limit else -(-(total - overlap - span + reach) // cell)
+    edges = []
+    for g in range(cuts):
+        last = overlap + (g + 1) * cell
+        choice = (boundary_rank(text[max(0, ends[n - 1] - 8) : ends[n - 1]], text[ends[n - 1] : starts[n]]) * (1 << 32) + n for n in range(last - reach, min(last, total - 1) + 1))
+        edges.append(max(choice) & ((1 << 32) - 1))
+    out = []
+    for g, (first, last) in enumerate(zip([0, *(e - overlap for e in edges)], [*edges, total], strict=True)):
+        out.append((g, first, last, last - first, starts[first], text[starts[first] if g else 0 : ends[last - 1]]))
+    return out
 
 
 def split_ranges(ranges: DataFrame, limits: DataFrame, key: str, slack: float = 0.25) -> DataFrame:
     """(key, piece_no, start_token, end_token, token_count, start_offset, text) of all items of `limits` (key, limit, overlap).
 
     Items within the limit give one piece, longer ones pieces of at most `limit` tokens; neighbouring pieces share
-    exactly `overlap` tokens (no more than a third of the limit), and a cut never lies within a token. Items without
-    a token, or with a null or non-positive limit, give no piece.
+    exactly `overlap` tokens, and a cut never lies within a token. Items without a token, with a null or non-positive
+    limit, or with an overlap of the limit or more, which no cut can meet, give no piece.
     """
-    wanted = limits.where("limit > 0").select(key, F.col("limit").cast("int").alias("limit"), F.coalesce(F.col("overlap"), F.lit(0)).cast("int").alias("overlap"))
+    wanted = _usable(limits.select(key, "limit", "overlap"))
     grid = wanted.select(key, "limit", *[c.alias(n) for n, c in _grid(F.col("limit"), F.col("overlap"), slack).items()])
     bases = token_bases(ranges, key).join(grid, key).withColumn(
-        "cuts", F.when(F.col("total") <= F.col("limit"), 0).otherwise(F.ceil((F.col("total") - F.col("span") + F.col("reach")) / F.col("cell")))
+        "cuts", F.when(F.col("total") <= F.col("limit"), 0).otherwise(F.ceil((F.col("total") - F.col("shared") - F.col("span") + F.col("reach")) / F.col("cell")))
     )
     placed = ranges.join(bases, [key, "range_no"])
 
     def boundaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for k, halo, body, base, cell, reach, cuts in batch[["item_key", "halo", "body", "base", "cell", "reach", "cuts"]].itertuples(index=False):
+            for k, halo, body, base, cell, reach, cuts, shared in batch[["item_key", "halo", "body", "base", "cell", "reach", "cuts", "shared"]].itertuples(index=False):
                 best: dict[int, tuple[int, int]] = {}
                 text, shift = halo + body, len(halo)
                 tokens = list(_TOKEN.finditer(text))
@@ -135,8 +169,8 @@ def split_ranges(ranges: DataFrame, limits: DataFrame, key: str, slack: float =
                     if token.start() < shift:
                         continue
                     number += 1
-                    g = -(-number // cell) - 1
-                    if number == 0 or g >= cuts or (g + 1) * cell - number > reach:
+                    g = -(-(number - shared) // cell) - 1
+                    if g < 0 or g >= cuts or shared + (g + 1) * cell - number > reach:
                         continue
                     end = tokens[i - 1].end() if i else 0
                     mark = (boundary_rank(text[max(0, end - 8) : end], text[end : token.start()]), number)
@@ -144,7 +178,7 @@ def split_ranges(ranges: DataFrame, limits: DataFrame, key: str, slack: float =
                 rows += [(k, g, *mark) for g, mark in best.items()]
             yield pd.DataFrame(rows, columns=["item_key", "cell_no", "rank", "cut"])
 
-    seen = placed.where("cuts > 0").select(F.col(key).alias("item_key"), "halo", "body", "base", "cell", "reach", "cuts")
+    seen = placed.where("cuts > 0").select(F.col(key).alias("item_key"), "halo", "body", "base", "cell", "reach", "cuts", "shared")
     cuts = (
         seen.mapInPandas(boundaries, "item_key string, cell_no long, rank int, cut long")
         .groupBy("item_key", "cell_no")
@@ -160,14 +194,15 @@ def split_ranges(ranges: DataFrame, limits: DataFrame, key: str, slack: float =
         F.coalesce(F.lag("end_cut").over(line) - F.col("shared"), F.lit(0)).cast("long").alias("start_token"),
         F.coalesce("end_cut", "total").cast("long").alias("end_token"),
     )
-    spread = placed.select(F.col(key).alias("item_key"), "range_no", "base", "tokens", "cell", "cuts").select(
+    spread = placed.select(F.col(key).alias("item_key"), "range_no", "base", "tokens", "cell", "cuts", "shared").select(
         "item_key",
         "range_no",
         "base",
         "tokens",
         F.explode(
             F.sequence(
-                F.greatest(F.lit(0).cast("long"), F.floor(F.col("base") / F.col("cell")) - 1),
+                # A piece ends within the cell of its number and begins a cell and the overlap before that.
+                F.least(F.col("cuts"), F.greatest(F.lit(0).cast("long"), F.floor((F.col("base") - F.col("shared")) / F.col("cell")) - 1)),
                 F.least(F.col("cuts"), F.floor((F.col("base") + F.col("tokens")) / F.col("cell")) + 1),
             )
         ).alias("piece_no"),
@@ -220,12 +255,27 @@ def split_ranges(ranges: DataFrame, limits: DataFrame, key: str, slack: float =
 def split_items(df: DataFrame, item: list[str], text: str, limit: str, overlap: str, range_chars: int = 1 << 16, slack: float = 0.25) -> DataFrame:
     """(*item, piece_no, start_token, end_token, token_count, start_offset, text) for a text column.
 
-    Repeated rows (same item, text, limit and overlap) are one item; the same item with another text is cut for
-    itself. Null or blank texts and null limits give no piece; other columns of any name are not looked at.
+    Texts of up to range_chars characters are one range and cut where they are; longer ones are spread over the
+    workers by ranges, with the same cuts. Repeated rows (same item, text, limit and overlap) are one item; the same
+    item with another text is cut for itself. Null or blank texts, null limits, and overlaps of the limit or more give
+    no piece; other columns of any name are not looked at.
     """
     key = "item_key"
     picked = df.select(*[F.col(f"`{c}`") for c in item], F.col(f"`{text}`").alias("__text"), F.col(f"`{limit}`").alias("limit"), F.col(f"`{overlap}`").alias("overlap"))
-    keyed = picked.where("__text IS NOT NULL AND limit IS NOT NULL").withColumn(key, content_digest(*[F.col(f"`{c}`") for c in item], F.col("__text"), F.col("limit"), F.col("overlap"))).dropDuplicates([key])
-    ranges = text_ranges(keyed, key, "__text", range_chars)
-    pieces = split_ranges(ranges, keyed.select(key, "limit", "overlap"), key, slack)
-    return keyed.select(key, *[F.col(f"`{c}`") for c in item]).join(pieces, key).drop(key)
+    picked = _usable(picked.where("__text IS NOT NULL"))
+    keyed = picked.withColumn(key, content_digest(*[F.col(f"`{c}`") for c in item], F.col("__text"), F.col("limit"), F.col("overlap")))
+    names = [F.col(f"`{c}`") for c in item]
+
+    def cut_whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(*own, *piece) for *own, t, size, shared in batch.itertuples(index=False) for piece in split_text(t, size, shared, slack)]
+            yield pd.DataFrame(rows, columns=columns)
+
+    columns = [*item, "piece_no", "start_token", "end_token", "token_count", "start_offset", "text"]
+    kinds = {f.name: f.dataType.simpleString() for f in picked.schema.fields}
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in item), "piece_no long, start_token long, end_token long, token_count long, start_offset long, text string"])
+    short = keyed.where(F.length("__text") <= range_chars).dropDuplicates([key])
+    whole = short.select(*names, "__text", "limit", "overlap").mapInPandas(cut_whole, schema)
+    long = keyed.where(F.length("__text") > range_chars).dropDuplicates([key])
+    pieces = split_ranges(text_ranges(long, key, "__text", range_chars), long.select(key, "limit", "overlap"), key, slack)
+    return whole.unionByName(long.select(key, *names).join(pieces, key).drop(key))

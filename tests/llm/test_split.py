@@ -28,11 +28,11 @@ def pieces_of(spark, rows, **how):
 @pytest.mark.parametrize("range_chars", [37, 500, 1 << 16])
 def test_pieces_cover_the_text_within_the_limit(spark, range_chars):
     rng = random.Random(range_chars)
-    rows = [(f"i{n}", sample(rng, rng.choice([1, 20, 300])), rng.choice([5, 12, 40]), rng.choice([0, 1, 3]), "x", "y") for n in range(25)]
+    rows = [(f"i{n}", sample(rng, rng.choice([1, 20, 300])), rng.choice([5, 12, 40]), rng.choice([0, 1, 3, 4]), "x", "y") for n in range(25)]
+    rows += [(f"wide{n}", sample(rng, 300), 40, n, "x", "y") for n in (20, 33, 39)]
     got = pieces_of(spark, rows, range_chars=range_chars)
     for item, text, limit, overlap, *_ in rows:
         tokens = re.findall(r"[^ \t\r\n]+", text)
-        shared = min(overlap, limit // 3)
         found = got[item]
         assert found[0].start_token == 0 and found[-1].end_token == len(tokens)
         assert (len(found) > 1) == (len(tokens) > limit)
@@ -41,7 +41,14 @@ def test_pieces_cover_the_text_within_the_limit(spark, range_chars):
             assert re.findall(r"[^ \t\r\n]+", p.text) == tokens[p.start_token : p.end_token]
             assert text[p.start_offset :].startswith(p.text)
             if i:
-                assert p.start_token == found[i - 1].end_token - shared
+                assert p.start_token == found[i - 1].end_token - overlap
+
+
+def test_ranges_cut_as_whole_items_do(spark):
+    rng = random.Random(12)
+    rows = [(f"i{n}", sample(rng, 250), rng.choice([9, 30]), rng.choice([0, 2, 8]), "x", "y") for n in range(12)]
+    cuts = lambda got: {k: [(p.piece_no, p.start_token, p.end_token, p.text) for p in v] for k, v in got.items()}
+    assert cuts(pieces_of(spark, rows, range_chars=333)) == cuts(pieces_of(spark, rows))
 
 
 def test_cuts_prefer_natural_boundaries():
@@ -56,7 +63,7 @@ def test_sentence_end_is_chosen(spark):
 
 
 def test_defined_results(spark):
-    rows = [("null", None, 5, 1, "", ""), ("blank", " \n ", 5, 1, "", ""), ("nolimit", "a b c", None, 1, "", ""), ("zero", "a b c", 0, 1, "", ""), ("nooverlap", "a b c d e f g", 3, None, "", ""), ("twice", "a b", 5, 1, "", ""), ("twice", "a b", 5, 1, "", ""), ("giant", "y" * 300_000, 5, 1, "", "")]
+    rows = [("null", None, 5, 1, "", ""), ("blank", " \n ", 5, 1, "", ""), ("nolimit", "a b c", None, 1, "", ""), ("zero", "a b c", 0, 1, "", ""), ("allshared", "a b c d", 3, 3, "", ""), ("nooverlap", "a b c d e f g", 3, None, "", ""), ("twice", "a b", 5, 1, "", ""), ("twice", "a b", 5, 1, "", ""), ("giant", "y" * 300_000, 5, 1, "", "")]
     got = pieces_of(spark, rows)
     assert set(got) == {"nooverlap", "twice", "giant"} and len(got["twice"]) == 1 and len(got["giant"][0].text) == 300_000
     assert split_items(spark.createDataFrame([], SCHEMA), ["id"], "text", "limit_tokens", "overlap").count() == 0
