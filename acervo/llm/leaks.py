@@ -5,22 +5,28 @@ a query, answered by block-max WAND; weights are divided by the item's own thres
 window of the item reaches with its distinct words, so an item that shares n consecutive words with the passage
 always scores at least 1 and retrieval loses nothing. What is retrieved is verified on the words themselves.
 
-The index is built in shards of at most `shard_words` item words, which bounds what a worker holds; more items make
-more shards, each queried by all passages.
+The workers build the index in shards of about `shard_words` item words, which bounds what a worker or the driver holds
+of it at a time; more items make more shards, each queried by all passages. The items have one text each, no question
+and answer apart, so what is verified is the run of n words.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from math import log
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from acervo.session import cut
+
 _WORD = re.compile(r"[^\W_]+")
 BLOCK = 16
 
@@ -33,48 +39,71 @@ def plain_words(text: str) -> list[str]:
     return _WORD.findall(text)
 
 
-def terms_of(words: list[str], term: int) -> list[str]:
-    return words if term == 1 else [" ".join(x) for x in zip(*(words[k:] for k in range(term)), strict=False)]
+class WordHashes(dict):
+    """64-bit hashes of words, kept for a bounded number of them."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
+
+
+def runs_of(words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n-word runs of word hashes, in order; a shorter text has none."""
+    if len(words) < n:
+        return np.empty(0, dtype=np.uint64)
+    out = np.zeros(len(words) - n + 1, dtype=np.uint64)
+    for i in range(n):
+        out = (out ^ words[i : len(words) - n + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
 
 
 class Index:
     """BM25 postings of items by term, with the maxima of blocks of BLOCK items; weights in units of each item's threshold.
 
-    Terms are sequences of `term` words: n words in a row hold n - term + 1 of them, so thresholds stay exact, and they
-    are in far fewer items than words are.
+    Terms are hashed sequences of `term` words: n words in a row hold n - term + 1 of them, so thresholds stay exact, and they
+    are in far fewer items than words are. Two sequences of one hash only add candidates.
     """
 
     def __init__(self, items: list[tuple[int, list[str]]], n: int, term: int = 4, k1: float = 1.2, b: float = 0.75):
-        term = min(term, n)
-        self.term = term
-        whole = [(i, w) for i, w in items if len(w) >= n]
-        items = [(i, terms_of(w, term)) for i, w in whole]
-        self.ids = [i for i, _ in items]
-        self.n = n
-        documents = Counter(t for _, w in items for t in set(w))
-        mean = sum(len(w) for _, w in items) / max(1, len(items))
-        idf = {t: log(1 + (len(items) - d + 0.5) / (d + 0.5)) for t, d in documents.items()}
-        self.items: dict[str, list[int]] = defaultdict(list)
-        self.weights: dict[str, list[float]] = defaultdict(list)
+        self.term, self.n = min(term, n), n
+        hashes = WordHashes()
+        whole = [(i, w, np.array([hashes[x] for x in w], dtype=np.uint64)) for i, w in items if len(w) >= n]
+        terms = [runs_of(h, self.term).tolist() for *_, h in whole]
+        self.ids = [i for i, *_ in whole]
+        documents = Counter(t for found in terms for t in set(found))
+        mean = sum(map(len, terms)) / max(1, len(terms))
+        idf = {t: log(1 + (len(terms) - d + 0.5) / (d + 0.5)) for t, d in documents.items()}
+        self.items: dict[int, list[int]] = defaultdict(list)
+        self.weights: dict[int, list[float]] = defaultdict(list)
         self.runs: list[frozenset] = []
-        for place, ((_, words), (_, plain)) in enumerate(zip(items, whole, strict=True)):
-            norm = k1 * (1 - b + b * len(words) / mean)
-            score = {t: idf[t] * f * (k1 + 1) / (f + norm) for t, f in Counter(words).items()}
-            windows = [words[i : i + n - term + 1] for i in range(len(plain) - n + 1)]
+        for place, (found, (_, plain, _)) in enumerate(zip(terms, whole, strict=True)):
+            norm = k1 * (1 - b + b * len(found) / mean)
+            score = {t: idf[t] * f * (k1 + 1) / (f + norm) for t, f in Counter(found).items()}
+            windows = [found[i : i + n - self.term + 1] for i in range(len(plain) - n + 1)]
             least = min(sum(score[t] for t in set(w)) for w in windows) * (1 - 1e-9)
             self.runs.append(frozenset(" ".join(plain[i : i + n]) for i in range(len(plain) - n + 1)))
             for t, s in score.items():
                 self.items[t].append(place)
                 self.weights[t].append(s / least)
         self.most = {t: max(w) for t, w in self.weights.items()}
-        self.block_most: dict[str, dict[int, float]] = {}
+        self.known = np.array(sorted(self.most), dtype=np.uint64)
+        self.block_most: dict[int, dict[int, float]] = {}
         for t, places in self.items.items():
             tops: dict[int, float] = {}
             for place, w in zip(places, self.weights[t], strict=True):
                 tops[place // BLOCK] = max(tops.get(place // BLOCK, 0.0), w)
             self.block_most[t] = tops
 
-    def retrieve(self, terms: set[str]) -> list[int]:
+    @classmethod
+    def of(cls, blob: bytes) -> Index:
+        index = cls.__new__(cls)
+        vars(index).update(pickle.loads(blob))
+        return index
+
+    def retrieve(self, terms: set[int]) -> list[int]:
         """All item places that score at least 1 (block-max WAND)."""
         cursors = [[self.items[t][0], 0, self.items[t], self.weights[t], self.most[t], self.block_most[t]] for t in terms if t in self.most]
         found, end = [], len(self.ids)
@@ -120,35 +149,41 @@ class Index:
                 cursors = [c for c in cursors if c[0] < end]
         return found
 
-    def leaked(self, words: list[str], passage: int) -> dict[int, int]:
+    def leaked(self, words: list[str], hashes: WordHashes, passage: int) -> dict[int, int]:
         """Item place -> number of its n-word runs found, over all passages of a text."""
-        out: dict[int, set[str]] = defaultdict(set)
         n = self.n
-        for start in range(0, max(1, len(words) - n + 1), passage):
-            part = words[start : start + passage + n - 1]
-            if len(part) < n:
-                continue
-            places = self.retrieve(set(terms_of(part, self.term)))
+        if len(words) < n or not len(self.known):
+            return {}
+        terms = runs_of(np.fromiter((hashes[w] for w in words), dtype=np.uint64, count=len(words)), self.term)
+        held = self.known[np.minimum(np.searchsorted(self.known, terms), len(self.known) - 1)] == terms
+        if not held.any():
+            return {}
+        out: dict[int, set[str]] = defaultdict(set)
+        for start in range(0, len(words) - n + 1, passage):
+            size = min(passage + n - 1, len(words) - start)
+            own = slice(start, start + size - self.term + 1)
+            query = set(terms[own][held[own]].tolist())
+            places = self.retrieve(query) if query else ()
             if places:
-                runs = {" ".join(part[i : i + n]) for i in range(len(part) - n + 1)}
+                part = words[start : start + size]
+                runs = {" ".join(part[i : i + n]) for i in range(size - n + 1)}
                 for place in places:
                     if not self.runs[place].isdisjoint(runs):
                         out[place] |= self.runs[place] & runs
         return {place: len(runs) for place, runs in out.items()}
 
 
-def _shards(items: DataFrame, item_id: str, text: str, n: int, shard_words: int) -> Iterator[Index]:
-    held: list[tuple[int, list[str]]] = []
-    size = 0
-    rows = items.where(F.col(f"`{item_id}`").isNotNull() & F.col(f"`{text}`").isNotNull()).select(F.col(f"`{item_id}`").alias("i"), F.col(f"`{text}`").alias("t"))
-    for r in rows.distinct().orderBy("i", "t").toLocalIterator():
-        words = plain_words(r.t)
-        held.append((r.i, words))
-        size += len(words)
-        if size >= shard_words:
-            yield Index(held, n)
-            held, size = [], 0
-    yield Index(held, n)
+def item_indexes(items: DataFrame, item_id: str, text: str, n: int, shard_words: int) -> DataFrame:
+    """(shard, blob): the indexes of the items, built by the workers; a shard holds about shard_words words."""
+    rows = items.where(F.col(f"`{item_id}`").isNotNull() & F.col(f"`{text}`").isNotNull()).select(F.col(f"`{item_id}`").cast("long").alias("item_id"), F.col(f"`{text}`").alias("text")).distinct()
+    size = rows.agg(F.sum(F.length("text")).alias("n")).first().n or 0
+    shards = 1 + size // (6 * shard_words)  # a word takes some six characters
+
+    def build(group: pa.Table) -> pa.Table:
+        held = sorted((i, plain_words(t)) for i, t in zip(group.column("item_id").to_pylist(), group.column("text").to_pylist(), strict=True))
+        return pa.table({"shard": group.column("shard")[:1], "blob": pa.array([pickle.dumps(vars(Index(held, n)))], pa.binary())})
+
+    return rows.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards))).groupBy("shard").applyInArrow(build, "shard long, blob binary")
 
 
 def leaks(documents: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id: str, item_text: str, n: int = 12, passage: int = 160, shard_words: int = 2_000_000) -> DataFrame:
@@ -160,15 +195,17 @@ def leaks(documents: DataFrame, doc_id: str, doc_text: str, items: DataFrame, it
     """
     texts = documents.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{doc_text}`").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     found = None
-    for index in _shards(items, item_id, item_text, n, shard_words):
-        shared = documents.sparkSession.sparkContext.broadcast(index)
+    for row in cut(item_indexes(items, item_id, item_text, n, shard_words)).toLocalIterator():
+        shared = documents.sparkSession.sparkContext.broadcast(bytes(row.blob))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
+            index, hashes = Index.of(shared.value), WordHashes()
             for batch in batches:
-                rows = [(d, index.ids[p], c) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for p, c in index.leaked(plain_words(t), passage).items()]
+                rows = [(d, index.ids[p], c) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for p, c in index.leaked(plain_words(t), hashes, passage).items()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["doc_id", "item_id", "runs"])
 
         part = texts.mapInArrow(search, "doc_id long, item_id long, runs long")
         found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = texts.where("false").selectExpr("doc_id", "doc_id AS item_id", "doc_id AS runs")
     return found.groupBy("doc_id", "item_id").agg(F.max("runs").alias("runs"))
