@@ -31,11 +31,22 @@ _WORD = re.compile(r"[^\W_]+")
 BLOCK = 16
 
 
+class _Marks(dict):
+    """str.translate table that deletes combining marks."""
+
+    def __missing__(self, at: int) -> int | None:
+        self[at] = kept = None if unicodedata.combining(chr(at)) else at
+        return kept
+
+
+_MARKS = _Marks()
+
+
 def plain_words(text: str) -> list[str]:
     """Runs of letters or digits after lower-casing and removing accents."""
     text = text.lower()
     if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
+        text = unicodedata.normalize("NFD", text).translate(_MARKS)
     return _WORD.findall(text)
 
 
@@ -60,6 +71,11 @@ def runs_of(words: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _spans(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The positions first, first + 1, ... of each span, one span after the other."""
+    return np.repeat(first - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+
+
 class Index:
     """BM25 postings of items by term, with the maxima of blocks of BLOCK items; weights in units of each item's threshold.
 
@@ -76,26 +92,28 @@ class Index:
         documents = Counter(t for found in terms for t in set(found))
         mean = sum(map(len, terms)) / max(1, len(terms))
         idf = {t: log(1 + (len(terms) - d + 0.5) / (d + 0.5)) for t, d in documents.items()}
-        self.items: dict[int, list[int]] = defaultdict(list)
-        self.weights: dict[int, list[float]] = defaultdict(list)
+        lines: list[tuple[int, int, float]] = []
         self.runs: list[frozenset] = []
+        self.hashed: list[np.ndarray] = []
         for place, (found, (_, plain, _)) in enumerate(zip(terms, whole, strict=True)):
             norm = k1 * (1 - b + b * len(found) / mean)
             score = {t: idf[t] * f * (k1 + 1) / (f + norm) for t, f in Counter(found).items()}
             windows = [found[i : i + n - self.term + 1] for i in range(len(plain) - n + 1)]
             least = min(sum(score[t] for t in set(w)) for w in windows) * (1 - 1e-9)
             self.runs.append(frozenset(" ".join(plain[i : i + n]) for i in range(len(plain) - n + 1)))
-            for t, s in score.items():
-                self.items[t].append(place)
-                self.weights[t].append(s / least)
-        self.most = {t: max(w) for t, w in self.weights.items()}
-        self.known = np.array(sorted(self.most), dtype=np.uint64)
-        self.block_most: dict[int, dict[int, float]] = {}
-        for t, places in self.items.items():
-            tops: dict[int, float] = {}
-            for place, w in zip(places, self.weights[t], strict=True):
-                tops[place // BLOCK] = max(tops.get(place // BLOCK, 0.0), w)
-            self.block_most[t] = tops
+            self.hashed.append(np.unique(runs_of(whole[place][2], n)))
+            lines += [(t, place, s / least) for t, s in score.items()]
+        lines.sort()
+        terms_of = np.array([t for t, *_ in lines], dtype=np.uint64)
+        self.places, self.weights = np.array([p for _, p, _ in lines], dtype=np.int64), np.array([w for *_, w in lines])
+        self.known, self.first, self.count = np.unique(terms_of, return_index=True, return_counts=True)
+        # Of each term, the blocks that it is in and its largest weight there.
+        block = self.places // BLOCK
+        edge = np.ones(len(lines), dtype=bool)
+        edge[1:] = (terms_of[1:] != terms_of[:-1]) | (block[1:] != block[:-1])
+        starts = np.flatnonzero(edge)
+        self.blocks, self.most = block[starts], np.maximum.reduceat(self.weights, starts) if len(starts) else np.zeros(0)
+        _, self.block_first, self.block_count = np.unique(terms_of[starts], return_index=True, return_counts=True)
 
     @classmethod
     def of(cls, blob: bytes) -> Index:
@@ -103,73 +121,47 @@ class Index:
         vars(index).update(pickle.loads(blob))
         return index
 
-    def retrieve(self, terms: set[int]) -> list[int]:
-        """All item places that score at least 1 (block-max WAND)."""
-        cursors = [[self.items[t][0], 0, self.items[t], self.weights[t], self.most[t], self.block_most[t]] for t in terms if t in self.most]
-        found, end = [], len(self.ids)
-        if sum(c[4] for c in cursors) < 1:
-            return found
-        while cursors:
-            cursors.sort(key=lambda c: c[0])
-            bound, pivot = 0.0, -1
-            for at, c in enumerate(cursors):
-                bound += c[4]
-                if bound >= 1:
-                    pivot = at
-                    break
-            if pivot < 0:
-                break
-            place = cursors[pivot][0]
-            last = pivot
-            while last + 1 < len(cursors) and cursors[last + 1][0] == place:
-                last += 1
-            block = place // BLOCK
-            if sum(c[5].get(block, 0.0) for c in cursors[: last + 1]) < 1:
-                # No item of this block can reach the threshold with these terms: go to the next block, or to the next term's item.
-                target = min((block + 1) * BLOCK, cursors[last + 1][0] if last + 1 < len(cursors) else end)
-                target = max(target, place + 1)
-                moved = cursors[: last + 1]
-            elif cursors[0][0] == place:
-                score = sum(c[3][c[1]] for c in cursors[: last + 1])
-                if score >= 1:
-                    found.append(place)
-                target, moved = place + 1, cursors[: last + 1]
-            else:
-                target, moved = place, [c for c in cursors[:pivot] if c[0] < place]
-            done = False
-            for c in moved:
-                i, places = c[1], c[2]
-                size = len(places)
-                while i < size and places[i] < target:
-                    i += 1
-                c[1] = i
-                c[0] = places[i] if i < size else end
-                done = done or i >= size
-            if done:
-                cursors = [c for c in cursors if c[0] < end]
-        return found
+    def retrieve(self, terms: np.ndarray) -> list[int]:
+        """All item places that score at least 1 for distinct known terms, given by their position in `known`.
+
+        Block-max WAND, a block at a time: only blocks in which the terms' block maxima can add up to the threshold
+        are scored, and in them only items that these terms hold.
+        """
+        at = _spans(self.block_first[terms], self.block_count[terms])
+        bound = np.bincount(self.blocks[at], weights=self.most[at])
+        open_blocks = bound >= 1
+        if not open_blocks.any():
+            return []
+        at = _spans(self.first[terms], self.count[terms])
+        at = at[open_blocks[self.places[at] // BLOCK]]
+        return np.flatnonzero(np.bincount(self.places[at], weights=self.weights[at]) >= 1).tolist()
 
     def leaked(self, words: list[str], hashes: WordHashes, passage: int) -> dict[int, int]:
         """Item place -> number of its n-word runs found, over all passages of a text."""
         n = self.n
         if len(words) < n or not len(self.known):
             return {}
-        terms = runs_of(np.fromiter((hashes[w] for w in words), dtype=np.uint64, count=len(words)), self.term)
-        held = self.known[np.minimum(np.searchsorted(self.known, terms), len(self.known) - 1)] == terms
+        own_hashes = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+        terms = runs_of(own_hashes, self.term)
+        number = np.minimum(np.searchsorted(self.known, terms), len(self.known) - 1)
+        held = self.known[number] == terms
         if not held.any():
             return {}
         out: dict[int, set[str]] = defaultdict(set)
         for start in range(0, len(words) - n + 1, passage):
             size = min(passage + n - 1, len(words) - start)
             own = slice(start, start + size - self.term + 1)
-            query = set(terms[own][held[own]].tolist())
-            places = self.retrieve(query) if query else ()
+            query = np.unique(number[own][held[own]])
+            places = self.retrieve(query) if len(query) else ()
             if places:
-                part = words[start : start + size]
-                runs = {" ".join(part[i : i + n]) for i in range(size - n + 1)}
+                runs = runs_of(own_hashes[start : start + size], n)
                 for place in places:
-                    if not self.runs[place].isdisjoint(runs):
-                        out[place] |= self.runs[place] & runs
+                    mine = self.hashed[place]
+                    # Where the hashes meet, the words decide.
+                    for i in np.flatnonzero(mine[np.minimum(np.searchsorted(mine, runs), len(mine) - 1)] == runs).tolist():
+                        run = " ".join(words[start + i : start + i + n])
+                        if run in self.runs[place]:
+                            out[place].add(run)
         return {place: len(runs) for place, runs in out.items()}
 
 
