@@ -15,8 +15,15 @@ def canonical_identifier(raw: Column) -> Column:
 
 
 def redacted(text: Column) -> Column:
-    """Company and then person identifiers of a text masked."""
-    return F.regexp_replace(F.regexp_replace(text, r"\b[0-9A-Z]{2}\.[0-9A-Z]{3}\.[0-9A-Z]{3}/[0-9A-Z]{4}-\d{2}\b", "[CNPJ]"), r"\b\d{3}\.\d{3}\.\d{3}-\d{2}\b", "[CPF]")
+    """Company and then person identifiers of a text masked, with or without their punctuation."""
+    company = r"(?<![0-9A-Za-z])(?:[0-9A-Z]{2}\.?[0-9A-Z]{3}\.?[0-9A-Z]{3}/?[0-9A-Z]{4}-?\d{2})(?![0-9A-Za-z])"
+    return F.regexp_replace(F.regexp_replace(text, company, "[CNPJ]"), r"(?<![0-9A-Za-z])\d{3}\.?\d{3}\.?\d{3}-?\d{2}(?![0-9A-Za-z])", "[CPF]")
+
+
+def masked_properties(properties: Column, secret: list[str]) -> Column:
+    """Map values redacted, those of secret names (in any case) gone altogether."""
+    named = F.lit("|".join(s.lower() for s in secret))
+    return F.transform_values(properties, lambda k, v: F.when(F.lower(k).rlike(named) if secret else F.lit(False), F.lit("[***]")).otherwise(redacted(v)))
 
 
 def without_controls(text: Column) -> Column:
@@ -59,3 +66,41 @@ def summary(text: Column, most: int = 250, least: int = 180) -> Column:
 def party_key(name: Column) -> Column:
     """Folded words of a name."""
     return squeeze(F.regexp_replace(fold(name), r"(?U)[\W_]+", " "))
+
+
+def company_key(name: Column) -> Column:
+    """Folded words of a company name without its legal form at the end."""
+    bare = F.regexp_replace(party_key(F.regexp_replace(name, r"(?i)\bS\s*[./]\s*A\b\.?", " SA ")), r"(?: (?:ltda|limitada|sa|eireli|epp|me|mei|cia))+$", "")
+    return squeeze(bare)
+
+
+def letter_number(number: Column) -> Column:
+    """a, b, ... z, aa, ab, ... for 1, 2, ...; null below 1 and above 702."""
+    letter = lambda n: F.char(F.lit(97) + n)
+    one = letter((number - 1) % 26)
+    return F.when(number.between(1, 26), one).when(number.between(27, 702), F.concat(letter(F.floor((number - 27) / 26)), one))
+
+
+def iso_seconds(text: Column) -> Column:
+    """Seconds since 1970 of an ISO time, 0 where it is none."""
+    return F.coalesce(F.unix_micros(F.try_to_timestamp(text)) / 1e6, F.lit(0.0))
+
+
+def safe_code(text: Column) -> Column:
+    """A code of lower-case letters, digits and _:.- as it is; anything else as a digest."""
+    return F.when(text.rlike(r"^[a-z0-9_:.\-]{1,120}$"), text).otherwise(F.concat(F.lit("code:"), F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 16)))
+
+
+def split_parties(line: Column) -> Column:
+    """Names of a line of parties, parted by semicolons, slashes and "e", trimmed, each once."""
+    parts = F.transform(F.split(line, r"\s*;\s*|\s+/\s+|,?\s+e\s+"), lambda x: squeeze(F.regexp_replace(x, r"^[\s,]+|[\s,.]+$", "")))
+    return F.array_distinct(F.filter(parts, lambda x: x != ""))
+
+
+def role_of(text: Column) -> Column:
+    """The role that a text names first; null for none."""
+    # Roles of contracts in their stems.
+    roles = {"locador": r"locador", "locatario": r"locatari", "contratante": r"contratante", "contratada": r"contratad", "comprador": r"comprador|adquirente", "vendedor": r"vendedor|alienante", "anuente": r"anuente|interveniente", "outorgante": r"outorgante", "outorgado": r"outorgad"}
+    at = {k: F.regexp_instr(fold(text), F.lit(rf"\b(?:{v})")) for k, v in roles.items()}
+    found = F.array_compact(F.array(*[F.when(i > 0, F.struct(i.alias("at"), F.lit(k).alias("role"))) for k, i in at.items()]))
+    return F.try_element_at(F.array_sort(found), F.lit(1))["role"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from acervo.functions.text import fold
 from acervo.operators.curation import latest
+from acervo.operators.ordered import in_pieces, last_value, running_sum
 
 
 def current_blocks(blocks: DataFrame) -> DataFrame:
@@ -19,24 +20,23 @@ def _line(*extra: str) -> Window:
 
 
 def clause_context(blocks: DataFrame) -> DataFrame:
-    """(block_id, clause_id, after_signature): the last clause above each block and whether a signature stood before it."""
-    running = _line().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = _line().rowsBetween(Window.unboundedPreceding, -1)
-    kind = F.lower("block_type")
-    return blocks.select(
-        "block_id",
-        F.last(F.when(kind == "clause", F.col("block_id")), ignorenulls=True).over(running).alias("clause_id"),
-        F.coalesce(F.max(F.when(kind == "signature", 1).otherwise(0)).over(before), F.lit(0)).alias("after_signature"),
-    )
+    """(block_id, clause_id, after_signature): the last clause above each block and whether a signature stood before it.
+
+    A document of any number of blocks is spread over ranges of its order, which hand on their state.
+    """
+    order = ["order_index", "block_id"]
+    pieces = in_pieces(blocks.select("doc_id", *order, F.lower("block_type").alias("kind")), ["doc_id"], order)
+    clause = last_value(pieces, ["doc_id"], order, F.when(F.col("kind") == "clause", F.col("block_id")), "clause_id")
+    signed = last_value(clause, ["doc_id"], order, F.when(F.col("kind") == "signature", 1), "after_signature", inclusive=False)
+    return signed.select("block_id", "clause_id", F.coalesce("after_signature", F.lit(0)).alias("after_signature"))
 
 
 def block_groups(blocks: DataFrame, is_start: Column) -> DataFrame:
     """(doc_id, group_no, first_block, blocks, characters): every start opens a group that lasts to the next one."""
-    running = _line().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marked = blocks.withColumn("group_no", F.sum(F.when(is_start, 1).otherwise(0)).over(running))
-    return marked.groupBy("doc_id", "group_no").agg(
-        F.min_by("block_id", F.struct("order_index", "block_id")).alias("first_block"), F.count(F.lit(1)).alias("blocks"), F.sum(F.length("text_raw")).alias("characters")
-    )
+    order = ["order_index", "block_id"]
+    pieces = in_pieces(blocks.select("doc_id", *order, F.length("text_raw").alias("size"), F.when(is_start, 1).otherwise(0).alias("opens")), ["doc_id"], order)
+    marked = running_sum(pieces, ["doc_id"], order, F.col("opens"), "group_no")
+    return marked.groupBy("doc_id", "group_no").agg(F.min_by("block_id", F.struct("order_index", "block_id")).alias("first_block"), F.count(F.lit(1)).alias("blocks"), F.sum("size").alias("characters"))
 
 
 def runs(blocks: DataFrame, value: Column) -> DataFrame:

@@ -78,3 +78,28 @@ def round_robin(df: DataFrame, stratum: str, key: str, total: int, seed: str) ->
     """(key, stratum, place, turn): `total` rows taken from the strata in turn. Each stratum is limited before the turns are mixed."""
     ranked = stratified(df.select(key, stratum), [stratum], key, total, seed)
     return ranked.withColumn("turn", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("place", F.col(stratum).asc_nulls_first(), key))).where(F.col("turn") <= total)
+
+
+def twins(items: DataFrame, threshold: float) -> DataFrame:
+    """(id_a, id_b, n_a, n_b, similarity): pairs of one scope whose sets of sequences have a Jaccard similarity of at least the threshold, exactly.
+
+    items: id, scope, n, grams (distinct). Two such sets share one of the first size - ceil(threshold size) + 1 of
+    their sequences in any common order, here that of a hash; only these keys meet, equal sets as one, and whole sets
+    are fetched for what met. Items without a sequence have no twin; null scopes are left out.
+    """
+    keyed = items.where("scope IS NOT NULL AND size(grams) > 0").withColumn("hashes", F.array_sort(F.transform("grams", lambda g: F.xxhash64(g)))).drop("grams").withColumn("set", F.xxhash64("scope", "hashes"))
+    sets = keyed.groupBy("set").agg(F.first("scope").alias("scope"), F.first("hashes").alias("hashes"))
+    size = F.size("hashes")
+    prefix = F.slice("hashes", 1, (size - F.ceil(threshold * size) + 1).cast("int"))
+    posts = sets.select("set", "scope", size.alias("size"), F.explode(prefix).alias("key"))
+    a, b = (posts.select("scope", "key", F.col("set").alias(f"set_{s}"), F.col("size").alias(f"size_{s}")) for s in "ab")
+    near = F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b")
+    met = a.join(b, ["scope", "key"]).where((F.col("set_a") < F.col("set_b")) & near).select("set_a", "set_b").distinct()
+    for s in "ab":
+        met = met.join(sets.select(F.col("set").alias(f"set_{s}"), F.col("hashes").alias(f"hashes_{s}")), f"set_{s}")
+    shared = F.size(F.array_intersect("hashes_a", "hashes_b"))
+    similarity = F.round(shared / (F.size("hashes_a") + F.size("hashes_b") - shared), 6)
+    linked = met.select("set_a", "set_b", similarity.alias("similarity")).where(F.col("similarity") >= threshold)
+    linked = linked.unionByName(linked.select(F.col("set_b").alias("set_a"), F.col("set_a").alias("set_b"), "similarity")).unionByName(sets.select(F.col("set").alias("set_a"), F.col("set").alias("set_b"), F.lit(1.0).alias("similarity")))
+    left, right = (keyed.select(F.col("id").alias(f"id_{s}"), F.col("n").alias(f"n_{s}"), F.col("set").alias(f"set_{s}")) for s in "ab")
+    return linked.join(left, "set_a").join(right, "set_b").where("id_a < id_b").select("id_a", "id_b", "n_a", "n_b", "similarity")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from acervo.functions.grammar import with_references
 from acervo.functions.text import fold, word_ngrams, words
+from acervo.operators.curation import twins
 from acervo.session import table
 
 
@@ -98,14 +99,11 @@ def numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_twins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of different chunks of one instrument of like length and with a Jaccard similarity of at least 0.8 (a join in bands of length)."""
+    """Pairs of different chunks of one instrument of like length and with a Jaccard similarity of at least 0.8."""
     c = table(spark, sf_dir, "chunks").where("verbatim_text IS NOT NULL AND instrument_id IS NOT NULL").select("chunk_id", "instrument_id", "verbatim_text").dropDuplicates(["chunk_id"])
-    s = c.select("chunk_id", "instrument_id", F.length("verbatim_text").alias("n"), word_ngrams(words(F.col("verbatim_text")), 5).alias("g"))
-    a, b = (s.select("instrument_id", *[F.col(x).alias(f"{x}_{e}") for x in ("chunk_id", "n", "g")]) for e in "ab")
-    met = a.join(b, "instrument_id").where("chunk_id_a < chunk_id_b AND least(n_a, n_b) >= 0.7 * greatest(n_a, n_b)")
-    shared = F.size(F.array_intersect("g_a", "g_b"))
-    similarity = F.round(shared / (F.size("g_a") + F.size("g_b") - shared), 6)
-    return met.withColumn("similarity", similarity).where("similarity >= 0.8").select("chunk_id_a", "chunk_id_b", "similarity")
+    s = c.select(F.col("chunk_id").alias("id"), F.col("instrument_id").alias("scope"), F.length("verbatim_text").alias("n"), word_ngrams(words(F.col("verbatim_text")), 5).alias("grams"))
+    met = twins(s, 0.8).where("least(n_a, n_b) >= 0.7 * greatest(n_a, n_b)")
+    return met.select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"), "similarity")
 
 
 def trace_filter(spark: SparkSession, sf_dir: str, event_type: str | None = "purchase", least: float | None = 50, user_id: int | None = None) -> DataFrame:

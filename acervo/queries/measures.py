@@ -45,10 +45,9 @@ def agreement_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def recall_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the content words of each split's items, how many the documents of each language hold."""
-    e = table(spark, sf_dir, "eval_passages").select("split", F.array_distinct(words(F.col("text"))).alias("wanted"))
-    d = table(spark, sf_dir, "documents").where("lang IN ('pt', 'es', 'en')").select("lang", F.explode(words(F.col("text"))).alias("w")).distinct()
-    held = d.groupBy("lang").agg(F.collect_set("w").alias("found"))
-    return e.crossJoin(F.broadcast(held)).groupBy("split", "lang").agg(micro_recall(F.col("found"), F.col("wanted")).alias("recall"))
+    e = table(spark, sf_dir, "eval_passages").select("split", F.explode_outer(F.array_distinct(words(F.col("text")))).alias("w"))
+    d = table(spark, sf_dir, "documents").where("lang IN ('pt', 'es', 'en')").select("lang", F.explode(words(F.col("text"))).alias("w"))
+    return micro_recall(e, d, "split", "w", "lang")
 
 
 def token_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,7 +162,8 @@ s AS (SELECT profile_id, list_sort(list(tokens)) AS s, max(tokens) AS most, coun
 SELECT profile_id, most, above, n, s[ceil(0.5 * n)::INT] AS p50, s[ceil(0.95 * n)::INT] AS p95 FROM s""",
     "identifier_normalize": r"""WITH k AS (SELECT party_id, name, regexp_replace(upper(regexp_replace(raw_identifier, '(?i)^[^\p{L}\p{N}_]*(cpf|cnpj)([^\p{L}\p{N}_]*n[º°o]\.?)?[^\p{L}\p{N}_]+', '')), '[^0-9A-Z]', '', 'g') AS core FROM parties)
 SELECT party_id, CASE WHEN length(core) IN (11, 14) THEN core END AS identifier, trim(regexp_replace(strip_accents(lower(replace(name, 'ß', 'ss'))), '[^\p{L}\p{N}]+', ' ', 'g')) AS name_key FROM k""",
-    "pii_redact": r"""SELECT party_id, regexp_replace(regexp_replace(concat_ws(', ', name, raw_identifier), '\b[0-9A-Z]{2}\.[0-9A-Z]{3}\.[0-9A-Z]{3}/[0-9A-Z]{4}-\d{2}\b', '[CNPJ]', 'g'), '\b\d{3}\.\d{3}\.\d{3}-\d{2}\b', '[CPF]', 'g') AS text FROM parties""",
+    "pii_redact": r"""WITH d AS (SELECT party_id, replace(concat_ws(', ', name, raw_identifier), ' ', '  ') AS t FROM parties), c AS (SELECT party_id, regexp_replace(t, '(^|[^0-9A-Za-z])[0-9A-Z]{2}\.?[0-9A-Z]{3}\.?[0-9A-Z]{3}/?[0-9A-Z]{4}-?\d{2}([^0-9A-Za-z]|$)', '\1[CNPJ]\2', 'g') AS t FROM d)
+SELECT party_id, replace(regexp_replace(t, '(^|[^0-9A-Za-z])\d{3}\.?\d{3}\.?\d{3}-?\d{2}([^0-9A-Za-z]|$)', '\1[CPF]\2', 'g'), '  ', ' ') AS text FROM c""",
     "control_clean": r"SELECT doc_id, md5(trim(regexp_replace(replace(chr(1) || ' ' || text || chr(13) || chr(10), chr(13) || chr(10), chr(10)), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), ' ')) AS digest FROM documents WHERE text IS NOT NULL",
     "csv_guard": r"""WITH k AS (SELECT row_id, CASE WHEN decision = 'include' THEN '=' || title ELSE title END AS cell FROM curation WHERE title IS NOT NULL)
 SELECT row_id, CASE WHEN regexp_matches(cell, '^\s*[=+\-@\t\r]') THEN '''' || cell ELSE cell END AS guarded, true AS same FROM k""",
