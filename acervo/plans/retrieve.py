@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from acervo.functions.text import fold
 from acervo.operators.graph import ancestors
-from acervo.operators.retrieval import bm25, exact_nearest, reciprocal_rank_fusion, top_k
+from acervo.operators.retrieval import bm25, exact_nearest, reciprocal_rank_fusion, top_k, with_zero_scores
 from acervo.session import cut
 
 
@@ -32,58 +32,89 @@ class Limits:
     ambiguous: tuple[str, ...] = field(default=("sem especificar", "ambigu"))
 
 
-def eligible_chunks(corpus: Corpus, questions: DataFrame) -> DataFrame:
-    """(query_id, id): chunks of allowed sources that pass a question's filters.
+def eligible_instruments(corpus: Corpus, questions: DataFrame) -> DataFrame:
+    """(query_id, instrument_id) of questions that limit instruments; a question whose party and instrument filters are empty has no row.
 
-    `questions` has query_id, text, party_ids, every_party, instrument_ids. Party ids are combined as a union or an
-    intersection among themselves; instruments always limit what is left. A null or empty filter does not limit.
+    Asked parties and instruments meet by equal joins and are counted: a union needs one, an intersection all of them.
+    The instruments of a question always limit what its parties leave.
     """
+    none = F.array().cast("array<string>")
+    asked = questions.select("query_id", F.array_distinct(F.coalesce("party_ids", none)).alias("p"), F.coalesce("every_party", F.lit(True)).alias("every"), F.array_distinct(F.coalesce("instrument_ids", none)).alias("i"))
+    needs = asked.select("query_id", F.when(F.size("p") == 0, 0).when(F.col("every"), F.size("p")).otherwise(1).alias("parties"), (F.size("i") > 0).alias("named"))
+    by_party = asked.select("query_id", F.explode("p").alias("party_id")).join(corpus.parties.select("instrument_id", "party_id").distinct(), "party_id").groupBy("query_id", "instrument_id").agg(F.count(F.lit(1)).alias("parties"))
+    by_name = asked.select("query_id", F.explode("i").alias("instrument_id")).withColumn("named", F.lit(True))
+    either = by_party.join(by_name, ["query_id", "instrument_id"], "full_outer")
+    checked = either.join(needs.select("query_id", F.col("parties").alias("need"), F.col("named").alias("must")), "query_id")
+    return checked.where((F.coalesce("parties", F.lit(0)) >= F.col("need")) & (~F.col("must") | F.coalesce("named", F.lit(False)))).select("query_id", "instrument_id")
+
+
+def eligible_chunks(corpus: Corpus, questions: DataFrame) -> DataFrame:
+    """(query_id, id): chunks of allowed sources that pass a question's filters. Questions without a filter, a stated small set, have all allowed chunks."""
     chunks = corpus.chunks.select("id", "instrument_id", "source_id")
     if corpus.blocked_sources is not None:
         chunks = chunks.join(corpus.blocked_sources.select("source_id"), "source_id", "left_anti")
-    held = corpus.parties.groupBy("instrument_id").agg(F.collect_set("party_id").alias("held"))
-    instruments = chunks.select("instrument_id").distinct().join(held, "instrument_id", "left")
-    asked = questions.select("query_id", F.coalesce("party_ids", F.array().cast("array<string>")).alias("p"), F.coalesce("every_party", F.lit(True)).alias("every"), F.coalesce("instrument_ids", F.array().cast("array<string>")).alias("i"))
-    has = F.coalesce("held", F.array().cast("array<string>"))
-    by_party = (F.size("p") == 0) | F.when(F.col("every"), F.size(F.array_except("p", has)) == 0).otherwise(F.arrays_overlap("p", has))
-    by_instrument = (F.size("i") == 0) | F.array_contains("i", F.col("instrument_id"))
-    # Questions are the stated small set; instruments meet them as one line each.
-    fits = instruments.crossJoin(asked).where(by_party & by_instrument).select("query_id", "instrument_id")
-    return chunks.join(fits, "instrument_id").select("query_id", "id")
+    free = questions.where((F.size(F.coalesce("party_ids", F.array().cast("array<string>"))) == 0) & (F.size(F.coalesce("instrument_ids", F.array().cast("array<string>"))) == 0)).select("query_id")
+    limited = chunks.join(eligible_instruments(corpus, questions), "instrument_id").select("query_id", "id")
+    return limited.unionByName(chunks.select(F.explode(_ids(free)).alias("query_id"), "id"))
+
+
+def _ids(questions: DataFrame):
+    """The ids of a stated set of questions as one literal, empty for none."""
+    ids = [r.query_id for r in questions.select("query_id").distinct().collect()]
+    return F.array(*[F.lit(i) for i in ids]) if ids else F.array().cast(f"array<{questions.schema['query_id'].dataType.simpleString()}>")
 
 
 def retrieve(corpus: Corpus, questions: DataFrame, question_vectors: DataFrame | None = None, limits: Limits = Limits()) -> tuple[DataFrame, DataFrame]:
     """((query_id, status, reason, tokens), (query_id, id, rank)): outcome of each question and the chunks it rests on.
 
-    Ranks are those of the fused ranking, over statistics of the whole corpus; chunks that the ranked ones depend on
-    follow without rank. A closure that misses a chunk or exceeds the token budget blocks the answer, it is never cut.
+    Ranks are those of the fused ranking: BM25 over statistics of the whole corpus, in which eligible chunks without a
+    shared token stay, behind the others; and the nearest vectors among those of allowed sources, of which the eligible
+    ones stay. Chunks that the ranked ones depend on follow without rank. A closure that misses a chunk or exceeds the
+    token budget blocks the answer, it is never cut. A question without filters abstains where no chunk has a token of it.
     """
-    eligible = eligible_chunks(corpus, questions)
-    lexical = bm25(corpus.chunks, "id", "text", questions, "query_id", "text").join(eligible, ["query_id", "id"])
-    rankings = [top_k(lexical, limits.depth)]
+    none = F.array().cast("array<string>")
+    eligible = cut(eligible_chunks(corpus, questions))
+    scored = bm25(corpus.chunks, "id", "text", questions, "query_id", "text")
+    lexical = with_zero_scores(scored, eligible)
+    ranked_words = cut(top_k(lexical, limits.depth))
+    rankings = [ranked_words]
     if corpus.vectors is not None and question_vectors is not None:
-        near = exact_nearest(corpus.vectors, question_vectors, "id", "vector", limits.depth)
+        allowed = corpus.chunks.select("id", "source_id")
+        if corpus.blocked_sources is not None:
+            allowed = allowed.join(corpus.blocked_sources.select("source_id"), "source_id", "left_anti")
+        near = exact_nearest(corpus.vectors.join(allowed.select("id"), "id", "left_semi"), question_vectors, "id", "vector", limits.depth)
         rankings.append(near.join(eligible, ["query_id", "id"], "left_semi").select("query_id", "id", "rank"))
     ranked = cut(reciprocal_rank_fusion(rankings, limits.k))  # k rows a question
     above = ancestors(corpus.depends, ranked.select(F.col("id").alias("child"))).select(F.col("child").alias("id"), F.col("parent").alias("needed"))
     needed = ranked.join(above, "id").select("query_id", F.col("needed").alias("id")).distinct().join(ranked, ["query_id", "id"], "left_anti")
-    proof = ranked.select("query_id", "id", "rank").unionByName(needed.withColumn("rank", F.lit(None).cast("int")))
+    proof = cut(ranked.select("query_id", "id", "rank").unionByName(needed.withColumn("rank", F.lit(None).cast("int"))))
     weighed = proof.join(corpus.chunks.select("id", "tokens", F.lit(True).alias("there")), "id", "left")
     sums = weighed.groupBy("query_id").agg(F.sum("tokens").alias("tokens"), F.count_if(F.col("there").isNull()).alias("missing"), F.count_if(F.col("rank").isNotNull()).alias("found"))
     counts = eligible.groupBy("query_id").agg(F.count(F.lit(1)).alias("eligible"))
+    best = ranked_words.groupBy("query_id").agg(F.max("score").alias("best"))
+    fitting = eligible_instruments(corpus, questions).groupBy("query_id").agg(F.count(F.lit(1)).alias("instruments"))
     text = fold(F.col("text"))
     unclear = F.lit(False)
     for mark in limits.ambiguous:
         unclear = unclear | text.contains(mark)
-    joined = questions.select("query_id", unclear.alias("unclear")).join(sums, "query_id", "left").join(counts, "query_id", "left")
+    limited = (F.size(F.coalesce("party_ids", none)) > 0) | (F.size(F.coalesce("instrument_ids", none)) > 0)
+    joined = questions.select("query_id", unclear.alias("unclear"), limited.alias("limited"))
+    for part in (sums, counts, best, fitting):
+        joined = joined.join(part, "query_id", "left")
+    some = corpus.chunks.select("source_id").where("source_id IS NOT NULL")
+    closed = corpus.blocked_sources is not None and some.join(corpus.blocked_sources.select("source_id"), "source_id", "left_anti").isEmpty()
+    zero = lambda c: F.coalesce(c, F.lit(0)) == 0
     reason = (
         F.when(F.col("unclear"), "ambiguous_question")
-        .when(F.coalesce("eligible", F.lit(0)) == 0, "no_eligible_chunks")
-        .when(F.coalesce("found", F.lit(0)) == 0, "no_ranked_evidence")
+        .when(F.lit(closed), "no_allowed_sources")
+        .when(F.col("limited") & zero("instruments"), "no_eligible_instruments")
+        .when(zero("eligible"), "no_eligible_chunks")
+        .when(~F.col("limited") & (F.coalesce("best", F.lit(0.0)) <= 0), "insufficient_evidence")
+        .when(zero("found"), "no_ranked_evidence")
         .when(F.col("missing") > 0, "closure_unit_missing")
         .when(F.col("tokens") > limits.token_budget, "closure_budget_exceeded")
     )
     status = F.when(F.col("reason").isNull(), "answered").when(F.col("reason") == "ambiguous_question", "needs_clarification").when(F.col("reason").startswith("closure"), "blocked").otherwise("abstained")
-    outcome = joined.withColumn("reason", reason).withColumn("status", status).select("query_id", "status", "reason", F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"))
+    outcome = cut(joined.withColumn("reason", reason).withColumn("status", status).select("query_id", "status", "reason", F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens")))
     kept = proof.join(outcome.where("status = 'answered'").select("query_id"), "query_id", "left_semi")
     return outcome, kept.select("query_id", "id", "rank")

@@ -24,15 +24,17 @@ def _files(spark: SparkSession, path: str):
 
 
 def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    """The file appears whole or not at all: written beside it, then renamed."""
+    """The file appears whole or not at all and an old one stays until then: written beside it, then renamed over it in one step."""
     fs, Path = _files(spark, path)
     fresh = Path(path + ".new")
     out = fs.create(fresh, True)
     out.write(bytearray(text.encode()))
     out.close()
-    fs.delete(Path(path), False)
-    if not fs.rename(fresh, Path(path)):
-        raise OSError(f"{path} could not be published")
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    context = jvm.FileContext.getFileContext(fresh.toUri(), spark.sparkContext._jsc.hadoopConfiguration()) if fresh.toUri().getScheme() else jvm.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    over = spark.sparkContext._gateway.new_array(jvm.Options.Rename, 1)
+    over[0] = jvm.Options.Rename.OVERWRITE
+    context.rename(fs.makeQualified(fresh), fs.makeQualified(Path(path)), over)
 
 
 def _read_text(spark: SparkSession, path: str) -> str | None:
@@ -71,3 +73,25 @@ def current_snapshot(spark: SparkSession, path: str) -> DataFrame | None:
     """The table that the pointer names, or None before the first one."""
     version = _read_text(spark, f"{path}/current")
     return None if version is None else spark.read.parquet(f"{path}/{version.strip()}")
+
+
+def recover(spark: SparkSession, path: str) -> str | None:
+    """The version in force after a crash: the pointer's if it verifies, else the newest written version that does, which is promoted; None where there is none."""
+    named = _read_text(spark, f"{path}/current")
+    if named is not None and verify(spark, path, named.strip()):
+        return named.strip()
+    fs, Path = _files(spark, path)
+    if not fs.exists(Path(path)):
+        return None
+    written = sorted(((s.getModificationTime(), s.getPath().getName().removesuffix(".manifest")) for s in fs.listStatus(Path(path)) if s.getPath().getName().endswith(".manifest")), reverse=True)
+    for _, version in written:
+        if verify(spark, path, version):
+            promote(spark, path, version)
+            return version
+    return None
+
+
+def pinned(spark: SparkSession, path: str) -> tuple[str, DataFrame] | None:
+    """(version, table) of the pointer as it is now: a run reads one version from beginning to end, whatever is promoted meanwhile."""
+    version = _read_text(spark, f"{path}/current")
+    return None if version is None else (version.strip(), spark.read.parquet(f"{path}/{version.strip()}"))

@@ -4,18 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from acervo.functions.scalars import guarded, unguarded
 from acervo.operators.curation import latest
 
 
 def read_manifest(spark: SparkSession, path: str, schema: StructType | str, key: str, sequence: str) -> DataFrame:
-    """The last record of each key in a folder of JSON lines; lines that do not fit the schema are left out."""
-    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    """The last record of each key in a folder of JSON lines. A line that does not fit the schema is an error; manifest_faults() shows which."""
+    rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
     return latest(rows, [key], [F.col(sequence).desc_nulls_last()])
 
 
+def manifest_faults(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """(file, line): lines of a manifest that do not fit the schema."""
+    wanted = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.col("value").alias("line"))
+    probe = StructType([*wanted.fields, StructField("_corrupt_record", StringType())])
+    read = lines.withColumn("__read", F.from_json("line", probe, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
+    return read.where(F.col("__read._corrupt_record").isNotNull()).select("file", "line")
+
+
+def read_samples(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """Samples of a JSON file, an array or one object a line, as its first character tells."""
+    head = spark.read.text(path).where("trim(value) <> ''").limit(1).collect()
+    many = bool(head) and head[0].value.lstrip("\ufeff \t").startswith("[")
+    return spark.read.schema(schema).option("multiLine", many).option("mode", "FAILFAST").json(path)
+
+
 def write_manifest(df: DataFrame, path: str, key: str) -> None:
     """JSON lines in the order of the key."""
     df.orderBy(key).write.mode("overwrite").json(path)

@@ -51,7 +51,10 @@ class VaultReader(DataSourceReader):
 
     def read(self, partition):
         names = {str(p["ID"]): p["Name"] for p in fetch(f"{self.base}/structure/properties.json", self.token).get("Items", [])}
-        for x in fetch(f"{self.base}/objects/{partition.class_id}.json?limit={self.limit}", self.token).get("Items", []):
+        answer = fetch(f"{self.base}/objects/{partition.class_id}.json?limit={self.limit}", self.token)
+        if answer.get("MoreResults") or len(answer.get("Items", [])) >= self.limit:
+            raise RuntimeError(f"class {partition.class_id} has more than {self.limit} documents: raise the limit, none is left out")
+        for x in answer.get("Items", []):
             if not x.get("Deleted"):
                 yield (x["ID"], x.get("Version"), int(partition.class_id), x.get("Title"), x.get("LastModifiedUtc"), flat_properties(x.get("Properties"), names))
 

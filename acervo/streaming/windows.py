@@ -72,19 +72,37 @@ def rate_limited(events: DataFrame, seconds: int, most: int) -> DataFrame:
     )
 
 
-def append_latest(stream: DataFrame, key: list[str], sequence: str, path: str, checkpoint: str):
-    """Start a query that keeps, as a table under `path`, the latest record of each key that the stream has brought.
+def append_latest(stream: DataFrame, key: list[str], sequence: str, path: str, checkpoint: str, buckets: int = 64):
+    """Start a query that keeps under `path` the latest record of each key that the stream has brought; read it with latest_table().
 
-    Each batch merges with what is there and writes a new version folder; a pointer file names the current one, so a
-    batch that is repeated after a failure writes the same version again.
+    Keys are hashed into buckets, each a snapshot of its own with an atomic pointer. A batch reads and writes only the
+    buckets that it touches, under a version named by the batch, so one that is repeated after a failure writes the same again.
     """
     from acervo.operators.governance import heads
     from acervo.sources.snapshots import current_snapshot, publish_snapshot
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        held = current_snapshot(spark, path)
-        together = batch if held is None else held.select(*batch.columns).unionByName(batch)
-        publish_snapshot(heads(together, key, sequence), path, f"batch-{number}")
+        marked = batch.withColumn("__bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
+        marked.persist()
+        try:
+            for bucket in sorted(r[0] for r in marked.select("__bucket").distinct().collect()):  # at most `buckets` numbers
+                fresh = marked.where(F.col("__bucket") == bucket).drop("__bucket")
+                held = current_snapshot(spark, f"{path}/{bucket}")
+                together = fresh if held is None else held.select(*fresh.columns).unionByName(fresh)
+                publish_snapshot(heads(together, key, sequence), f"{path}/{bucket}", f"batch-{number}")
+        finally:
+            marked.unpersist()
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_table(spark, path: str, buckets: int = 64) -> DataFrame | None:
+    """The table that append_latest() keeps, all buckets together; None before the first batch."""
+    from acervo.sources.snapshots import current_snapshot
+
+    parts = [p for p in (current_snapshot(spark, f"{path}/{b}") for b in range(buckets)) if p is not None]
+    out = parts[0] if parts else None
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

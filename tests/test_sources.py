@@ -5,8 +5,8 @@ import zipfile
 import pytest
 
 from acervo.sources.files import binary_files, detected, parsed_blocks
-from acervo.sources.snapshots import current_snapshot, digest, promote, publish_snapshot, verify
-from acervo.sources.tables import checked_overrides, read_manifest, read_sheet, write_manifest, write_sheet
+from acervo.sources.snapshots import current_snapshot, digest, pinned, promote, publish_snapshot, recover, verify
+from acervo.sources.tables import checked_overrides, manifest_faults, read_manifest, read_samples, read_sheet, write_manifest, write_sheet
 from acervo.sources.vault import VaultSource, flat_properties
 
 DOCX = '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t>Contrato</w:t></w:r></w:p><w:p><w:del><w:r><w:delText>fora</w:delText></w:r></w:del><w:ins><w:r><w:t>dentro</w:t></w:r></w:ins></w:p><w:p/><w:tbl><w:tr><w:tc><w:p><w:r><w:t>célula</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>'
@@ -51,6 +51,14 @@ def test_manifest_and_sheet(spark, tmp_path):
     write_manifest(df, str(tmp_path / "m"), "id")
     got = read_manifest(spark, str(tmp_path / "m"), "id int, seq int, name string", "id", "seq")
     assert {(r.id, r.name) for r in got.collect()} == {(1, 'new "x"'), (2, "b;c")}
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad/a.json").write_text('{"id": 1, "seq": 1, "name": "a"}\n{"id": "x"\n', encoding="utf-8")
+    assert [r.line for r in manifest_faults(spark, str(tmp_path / "bad"), "id int, seq int, name string").collect()] == ['{"id": "x"']
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read_manifest(spark, str(tmp_path / "bad"), "id int, seq int, name string", "id", "seq").collect()
+    for name, text in (("array.json", '\n[{"id": 1},\n {"id": 2}]'), ("lines.json", '{"id": 1}\n{"id": 2}\n')):
+        (tmp_path / name).write_text(text)
+        assert sorted(r.id for r in read_samples(spark, str(tmp_path / name), "id int").collect()) == [1, 2]
     write_sheet(df, str(tmp_path / "s"))
     assert {r.name for r in read_sheet(spark, str(tmp_path / "s")).collect()} == {"=a", "b;c", 'new "x"'}
     (tmp_path / "t.csv").write_text("﻿ ID ,Name\n1,'=x\n", encoding="utf-8")
@@ -78,6 +86,23 @@ def test_snapshots(spark, tmp_path):
     assert digest(df) == digest(df.repartition(3)) != digest(df.union(df))
 
 
+def test_a_crash_leaves_the_old_snapshot(spark, tmp_path, monkeypatch):
+    """Dying before the pointer is renamed keeps the version before; a broken one is recovered from."""
+    from acervo.sources import snapshots
+
+    path = str(tmp_path / "g")
+    assert recover(spark, path) is None
+    df = spark.createDataFrame([(1, "a"), (2, None)], "id int, v string")
+    publish_snapshot(df, path, "v1")
+    whole = snapshots._write_text
+    monkeypatch.setattr(snapshots, "_write_text", lambda s, p, t: whole(s, p + ".new" if p.endswith("/current") else p, t))
+    publish_snapshot(df.where("id = 1"), path, "v2")
+    monkeypatch.undo()
+    assert pinned(spark, path)[0] == "v1" and current_snapshot(spark, path).count() == 2 and recover(spark, path) == "v1"
+    df.union(df).write.mode("overwrite").parquet(path + "/v1")
+    assert recover(spark, path) == "v2" and current_snapshot(spark, path).count() == 1
+
+
 def test_vault_source(spark, tmp_path):
     (tmp_path / "structure").mkdir()
     (tmp_path / "objects").mkdir()

@@ -1,7 +1,6 @@
 from pyspark.sql import functions as F
 
-from acervo.sources.snapshots import current_snapshot
-from acervo.streaming.windows import anchored_windows, append_latest, rate_limited, sessions, tumbling
+from acervo.streaming.windows import anchored_windows, append_latest, latest_table, rate_limited, sessions, tumbling
 
 SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double"
 
@@ -38,6 +37,6 @@ def test_rate_limit_with_state(spark, sf, tmp_path):
 
 def test_latest_by_merge(spark, sf, tmp_path):
     path, check = str(tmp_path / "t"), str(tmp_path / "c")
-    append_latest(stream(spark, sf, tmp_path), ["user_id"], "event_id", path, check).awaitTermination()
+    append_latest(stream(spark, sf, tmp_path), ["user_id"], "event_id", path, check, buckets=3).awaitTermination()
     want = {r.user_id: r.m for r in events(spark, sf).where("user_id IS NOT NULL").groupBy("user_id").agg(F.max("event_id").alias("m")).collect()}
-    assert {r.user_id: r.event_id for r in current_snapshot(spark, path).collect()} == want
+    assert {r.user_id: r.event_id for r in latest_table(spark, path, 3).collect()} == want
