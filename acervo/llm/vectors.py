@@ -4,7 +4,7 @@ Vectors of one dimension are scaled to unit length and projected on Gaussian dir
 distance, which on unit vectors orders as cosine does). A table's bucket is the tuple of floor((a.x + b) / width).
 A vector is indexed in its own bucket of each table and queries that bucket and the `probes` perturbed buckets that
 are likeliest to hold its neighbours: perturbation sets of one or two coordinates, ordered by the summed squared
-distances to the crossed bucket borders. Within a bucket, codes (rotated, in 8-bit steps) bound each cosine from both
+distances to the crossed bucket borders. Within a bucket, codes (rotated, in 5-bit steps, with their error) bound each cosine from both
 sides: what can be among a query's k best goes on. Where that is more than `keep`, the query is decided by the exact
 cosines of the bucket. Survivors of all tables are merged and reranked by their exact cosine.
 
@@ -29,6 +29,8 @@ from acervo.llm.pairs import pair_blocks
 from acervo.session import cut
 
 SLOTS = 1 << 18
+#: Bits of a step of a code, and the largest step.
+BITS, HALF = 5, 15
 
 
 @dataclass(frozen=True)
@@ -117,26 +119,39 @@ def _meetings(bucket: np.ndarray, blocks: np.ndarray, nodes: np.ndarray, indexed
             yield rows, _scramble(bucket[rows] + mine * n + step + np.uint64(1)), True, False
 
 
+def _packed(steps: np.ndarray) -> np.ndarray:
+    """Numbers below 2^BITS, eight of them in BITS bytes."""
+    eights = steps.reshape(len(steps), -1, 8).astype(np.uint64) << (np.uint64(BITS) * np.arange(8, dtype=np.uint64))
+    return np.ascontiguousarray(eights.sum(axis=2, dtype=np.uint64)).view(np.uint8).reshape(len(steps), -1, 8)[:, :, :BITS].reshape(len(steps), -1)
+
+
 def encode(plan: Plan, dimension: int, x: np.ndarray) -> np.ndarray:
-    """Codes of unit vectors: rotated, in 8-bit steps of the largest element."""
+    """Codes of unit vectors: rotated, in steps of BITS bits of the largest element, then one byte for how far the vector lies from what its code stands for."""
     y = x @ _family(plan, dimension)["code"]
-    y /= np.maximum(np.abs(y).max(axis=1, keepdims=True), 1e-30)
-    return (np.rint(y * 127).astype(np.int16) + 128).astype(np.uint8)
+    top = np.maximum(np.abs(y).max(axis=1, keepdims=True), 1e-30)
+    steps = np.full((len(x), -(-dimension // 8) * 8), HALF, dtype=np.uint8)
+    steps[:, :dimension] = np.rint(y * (HALF / top)).astype(np.int8) + HALF
+    codes = np.zeros((len(x), steps.shape[1] // 8 * BITS + 1), dtype=np.uint8)
+    codes[:, :-1] = _packed(steps)
+    off = np.linalg.norm(y - decode(codes)[:, :dimension], axis=1) if len(x) else np.zeros(0)
+    codes[:, -1] = np.ceil(off * 127 + 1e-3).clip(0, 255)
+    return codes
 
 
 def decode(codes: np.ndarray) -> np.ndarray:
     """Unit vectors that codes of one dimension stand for."""
     if not len(codes):
         return np.empty((0, 1), dtype=np.float32)
-    steps = codes.astype(np.float32) - 128
+    groups = np.zeros((len(codes), (codes.shape[1] - 1) // BITS, 8), dtype=np.uint8)
+    groups[:, :, :BITS] = codes[:, :-1].reshape(len(codes), -1, BITS)
+    eights = groups.view(np.uint64)[:, :, 0]
+    steps = ((eights[:, :, None] >> (np.uint64(BITS) * np.arange(8, dtype=np.uint64))) & np.uint64(2 * HALF + 1)).reshape(len(codes), -1).astype(np.float32) - HALF
     return steps / np.maximum(np.linalg.norm(steps, axis=1, keepdims=True), 1e-30)
 
 
 def doubt(codes: np.ndarray) -> np.ndarray:
-    """How far, at most, a vector lies from what its code stands for: no step is off by more than a half."""
-    norms = np.linalg.norm(codes.astype(np.float32) - 128, axis=1)
-    sine = np.minimum(1, 0.5 * np.sqrt(codes.shape[1]) / np.maximum(norms, 1e-30))
-    return np.sqrt(2 - 2 * np.sqrt(1 - sine**2)) + 1e-5
+    """How far, at most, a vector lies from what its code stands for: measured when it was made, rounded up."""
+    return codes[:, -1].astype(np.float32) / 127 + 1e-5
 
 
 def _unit(vectors: pa.Array, dimension: int, kind: type = np.float32) -> np.ndarray:

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 
 from acervo.llm.vectors import Plan, decode, encode, hashes_for, most_similar
@@ -65,6 +66,24 @@ def test_recall_where_more_than_keep_are_close(spark, dim, spread):
     assert len({(r.id, r.neighbour_id) for r in got} & want) >= 0.9 * len(want) > 0
 
 
+@pytest.mark.parametrize("n, k", [(3000, 60), (12_000, 10)])
+def test_recall_of_the_default_plan_in_one_cone(spark, n, k):
+    rng = np.random.default_rng(3)
+    x = (np.ones(32) + 0.4 * rng.standard_normal((n, 32))).astype(np.float32)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "vector": list(x), "dimension": np.full(n, 32, dtype=np.int32)}), "vec_id long, vector array<float>, dimension int")
+    got = most_similar(df, "vec_id", "vector", "dimension", k=k, min_cosine=0.9).toPandas()
+    f = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = total = 0
+    found = set(zip(got.id.tolist(), got.neighbour_id.tolist(), strict=True))
+    for i in range(0, n, 3):
+        s = f @ f[i]
+        s[i] = -2
+        want = [j for j in np.argsort(-s)[:k].tolist() if s[j] >= 0.9]
+        total += len(want)
+        hits += sum((i, j) in found for j in want)
+    assert hits >= 0.9 * total > 0
+
+
 def test_blocks_of_a_divided_bucket_meet(spark):
     """One tight cluster of many times `cap`: all of its pairs meet, whatever the cap."""
     rng = np.random.default_rng(8)
