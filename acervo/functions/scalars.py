@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ def redacted(text: Column) -> Column:
 
 def masked_properties(properties: Column, secret: list[str]) -> Column:
     """Map values redacted, those of secret names (in any case) gone altogether."""
-    named = F.lit("|".join(s.lower() for s in secret))
+    named = "|".join(re.escape(s.lower()) for s in secret)
     return F.transform_values(properties, lambda k, v: F.when(F.lower(k).rlike(named) if secret else F.lit(False), F.lit("[***]")).otherwise(redacted(v)))
 
 

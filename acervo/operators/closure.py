@@ -91,13 +91,15 @@ def resolve(registry: Registry, selected: DataFrame, scope: str = "linked_instru
     proof = picked.withColumn("role", F.lit("selected")).unionByName(needed.distinct().join(picked, ["query_id", "unit_id"], "left_anti").withColumn("role", F.lit("closure")))
     proof = cut(proof.join(registry.units.select("unit_id", "instrument_id", "tokens"), "unit_id", "left"))
 
-    rings = on_cycles(registry.depends.select(F.col("child").alias("a"), F.col("parent").alias("b"))).select(F.col("node").alias("unit_id"), F.lit(True).alias("ring"))
+    # Cycles are looked for within the proofs only, not in the whole structure.
+    inside = registry.depends.select(F.col("child").alias("a"), F.col("parent").alias("b")).join(proof.select(F.col("unit_id").alias("a")).distinct(), "a", "left_semi")
+    rings = on_cycles(inside).select(F.col("node").alias("unit_id"), F.lit(True).alias("ring"))
     sums = proof.join(rings, "unit_id", "left").groupBy("query_id").agg(F.sum("tokens").alias("tokens"), F.count_if(F.col("instrument_id").isNull()).alias("missing"), F.count_if("ring").alias("rings"))
 
     own = cut(families(registry.relations))
-    met = proof.join(own, "instrument_id").select("query_id", "family").distinct()
-    member = own.select(F.col("instrument_id").alias("from_instrument"), "family")
-    turns = on_cycles(live.where("state = 'approved'").select(F.col("from_instrument").alias("a"), F.col("to_instrument").alias("b"))).select(F.col("node").alias("from_instrument"))
+    met = cut(proof.join(own, "instrument_id").select("query_id", "family").distinct())
+    member = own.join(met.select("family").distinct(), "family", "left_semi").select(F.col("instrument_id").alias("from_instrument"), "family")
+    turns = on_cycles(live.where("state = 'approved'").join(member, "from_instrument", "left_semi").select(F.col("from_instrument").alias("a"), F.col("to_instrument").alias("b"))).select(F.col("node").alias("from_instrument"))
     bad_support = live.where("state = 'approved'").join(faulty, "relation_id", "left_semi").join(member, "from_instrument").select("family", F.lit(True).alias("unsupported")).distinct()
     circular = turns.join(member, "from_instrument").select("family", F.lit(True).alias("circular")).distinct()
     state = family_review(registry.relations, registry.resolutions).join(bad_support, "family", "left").join(circular, "family", "left")
