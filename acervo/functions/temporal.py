@@ -49,9 +49,9 @@ _IN_SIGNATURE = re.compile(r"(?:assinad[oa]|firmad[oa]) em")
 _HEADING = re.compile(r"clausula (?:\d+[ºª°]?|[ivxlcdm]+|primeira|segunda|terceira|quarta|quinta|sexta|setima|oitava|nona|decima) ?[:–—-] ?")
 _PLACE = re.compile(r"[a-z][a-z .'-]{1,80}(?: ?/ ?[a-z]{2})? ?,")
 _DATE = re.compile(
-    rf"(?<![\w/.-])(?:(?P<y1>\d{{4}})-(?P<m1>\d\d)-(?P<d1>\d\d)|(?P<d2>\d{{1,2}})(?P<sep>[/.-])(?P<m2>\d{{1,2}})(?P=sep)(?P<y2>\d{{4}})"
-    rf"|(?:aos\s+)?(?P<d3>\d{{1,2}})º?(?:\s+dias)?\s+(?:do\s+mês\s+)?de\s+(?P<m3>{'|'.join(MONTHS)}|março)\s+de\s+(?P<y3>\d{{4}}))(?!\w)(?![/.-]\w)",
-    re.IGNORECASE | re.ASCII,
+    rf"(?<![\w/.-])(?:(?P<y1>[0-9]{{4}})-(?P<m1>[0-9]{{2}})-(?P<d1>[0-9]{{2}})|(?P<d2>[0-9]{{1,2}})(?P<sep>[/.-])(?P<m2>[0-9]{{1,2}})(?P=sep)(?P<y2>[0-9]{{4}})"
+    rf"|(?:aos\s+)?(?P<d3>[0-9]{{1,2}})º?(?:\s+dias)?\s+(?:do\s+mês\s+)?de\s+(?P<m3>{'|'.join(MONTHS)}|março)\s+de\s+(?P<y3>[0-9]{{4}}))(?!\w)(?![/.-]\w)",
+    re.IGNORECASE,
 )
 
 
