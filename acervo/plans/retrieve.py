@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from acervo.functions.text import fold
 from acervo.operators.graph import ancestors
-from acervo.operators.retrieval import bm25, exact_nearest, reciprocal_rank_fusion, top_k, with_zero_scores
+from acervo.operators.retrieval import best_by_vectors, best_by_words, reciprocal_rank_fusion
 from acervo.session import cut
 
 
 @dataclass(frozen=True)
 class Corpus:
-    """chunks: id, text, instrument_id, source_id, tokens; vectors: id, vector; parties: instrument_id, party_id; depends: child, parent (chunk ids)."""
+    """chunks: id, text, instrument_id, source_id, tokens; vectors: id, vector; parties: instrument_id, party_id; depends: child, parent (chunk ids). Ids of chunks and questions are whole numbers, each of one row."""
 
     chunks: DataFrame
     parties: DataFrame
@@ -48,20 +48,23 @@ def eligible_instruments(corpus: Corpus, questions: DataFrame) -> DataFrame:
     return checked.where((F.coalesce("parties", F.lit(0)) >= F.col("need")) & (~F.col("must") | F.coalesce("named", F.lit(False)))).select("query_id", "instrument_id")
 
 
-def eligible_chunks(corpus: Corpus, questions: DataFrame) -> DataFrame:
-    """(query_id, id): chunks of allowed sources that pass a question's filters. Questions without a filter, a stated small set, have all allowed chunks."""
+def question_filters(questions: DataFrame) -> DataFrame:
+    """(query_id, filter, party_ids, every_party, instrument_ids): filter is the smallest question that asks for the same parties and instruments, null for one without a filter."""
+    none = F.array().cast("array<string>")
+    plain = questions.where("query_id IS NOT NULL").select("query_id", F.array_sort(F.array_distinct(F.coalesce("party_ids", none))).alias("party_ids"), F.coalesce("every_party", F.lit(True)).alias("every_party"), F.array_sort(F.array_distinct(F.coalesce("instrument_ids", none))).alias("instrument_ids"))
+    asked = ["party_ids", "every_party", "instrument_ids"]
+    limits = (F.size("party_ids") > 0) | (F.size("instrument_ids") > 0)
+    first = plain.where(limits).groupBy(*asked).agg(F.min("query_id").alias("filter"))
+    return plain.where(limits).join(first, asked).select("query_id", "filter", *asked).unionByName(plain.where(~limits).select("query_id", F.lit(None).cast(plain.schema["query_id"].dataType).alias("filter"), *asked))
+
+
+def allowed_chunks(corpus: Corpus, instruments: DataFrame) -> DataFrame:
+    """(id, filters): chunks of allowed sources with the filters that they pass, by `instruments` (filter, instrument_id); what each question may see is not listed."""
     chunks = corpus.chunks.select("id", "instrument_id", "source_id")
     if corpus.blocked_sources is not None:
         chunks = chunks.join(corpus.blocked_sources.select("source_id"), "source_id", "left_anti")
-    free = questions.where((F.size(F.coalesce("party_ids", F.array().cast("array<string>"))) == 0) & (F.size(F.coalesce("instrument_ids", F.array().cast("array<string>"))) == 0)).select("query_id")
-    limited = chunks.join(eligible_instruments(corpus, questions), "instrument_id").select("query_id", "id")
-    return limited.unionByName(chunks.select(F.explode(_ids(free)).alias("query_id"), "id"))
-
-
-def _ids(questions: DataFrame):
-    """The ids of a stated set of questions as one literal, empty for none."""
-    ids = [r.query_id for r in questions.select("query_id").distinct().collect()]
-    return F.array(*[F.lit(i) for i in ids]) if ids else F.array().cast(f"array<{questions.schema['query_id'].dataType.simpleString()}>")
+    passed = instruments.groupBy("instrument_id").agg(F.collect_set("filter").alias("filters"))
+    return chunks.join(passed, "instrument_id", "left").select("id", "filters")
 
 
 def retrieve(corpus: Corpus, questions: DataFrame, question_vectors: DataFrame | None = None, limits: Limits = Limits()) -> tuple[DataFrame, DataFrame]:
@@ -73,33 +76,31 @@ def retrieve(corpus: Corpus, questions: DataFrame, question_vectors: DataFrame |
     token budget blocks the answer, it is never cut. A question without filters abstains where no chunk has a token of it.
     """
     none = F.array().cast("array<string>")
-    eligible = cut(eligible_chunks(corpus, questions))
-    scored = bm25(corpus.chunks, "id", "text", questions, "query_id", "text")
-    lexical = with_zero_scores(scored, eligible)
-    ranked_words = cut(top_k(lexical, limits.depth))
+    filters = cut(question_filters(questions))
+    instruments = cut(eligible_instruments(corpus, filters.where("query_id = filter")).select(F.col("query_id").alias("filter"), "instrument_id"))
+    allowed = cut(allowed_chunks(corpus, instruments))
+    ranked_words = cut(best_by_words(corpus.chunks, allowed, questions.select("query_id", "text").join(filters.select("query_id", "filter"), "query_id"), limits.depth))
     rankings = [ranked_words]
     if corpus.vectors is not None and question_vectors is not None:
-        allowed = corpus.chunks.select("id", "source_id")
-        if corpus.blocked_sources is not None:
-            allowed = allowed.join(corpus.blocked_sources.select("source_id"), "source_id", "left_anti")
-        near = exact_nearest(corpus.vectors.join(allowed.select("id"), "id", "left_semi"), question_vectors, "id", "vector", limits.depth)
-        rankings.append(near.join(eligible, ["query_id", "id"], "left_semi").select("query_id", "id", "rank"))
+        near = best_by_vectors(corpus.vectors.join(allowed.select("id"), "id", "left_semi"), question_vectors, limits.depth)
+        seen = near.join(filters.select("query_id", "filter"), "query_id").join(allowed, "id").where("filter IS NULL OR array_contains(filters, filter)")
+        rankings.append(seen.select("query_id", "id", "rank"))
     ranked = cut(reciprocal_rank_fusion(rankings, limits.k))  # k rows a question
     above = ancestors(corpus.depends, ranked.select(F.col("id").alias("child"))).select(F.col("child").alias("id"), F.col("parent").alias("needed"))
     needed = ranked.join(above, "id").select("query_id", F.col("needed").alias("id")).distinct().join(ranked, ["query_id", "id"], "left_anti")
     proof = cut(ranked.select("query_id", "id", "rank").unionByName(needed.withColumn("rank", F.lit(None).cast("int"))))
     weighed = proof.join(corpus.chunks.select("id", "tokens", F.lit(True).alias("there")), "id", "left")
     sums = weighed.groupBy("query_id").agg(F.sum("tokens").alias("tokens"), F.count_if(F.col("there").isNull()).alias("missing"), F.count_if(F.col("rank").isNotNull()).alias("found"))
-    counts = eligible.groupBy("query_id").agg(F.count(F.lit(1)).alias("eligible"))
-    best = ranked_words.groupBy("query_id").agg(F.max("score").alias("best"))
-    fitting = eligible_instruments(corpus, questions).groupBy("query_id").agg(F.count(F.lit(1)).alias("instruments"))
+    # Eligible chunks without a shared token are ranked too, so a question without ranked ones has none.
+    best = ranked_words.groupBy("query_id").agg(F.count(F.lit(1)).alias("eligible"), F.max("score").alias("best"))
+    fitting = filters.select("query_id", "filter").join(instruments.groupBy("filter").agg(F.count(F.lit(1)).alias("instruments")), "filter").select("query_id", "instruments")
     text = fold(F.col("text"))
     unclear = F.lit(False)
     for mark in limits.ambiguous:
         unclear = unclear | text.contains(mark)
     limited = (F.size(F.coalesce("party_ids", none)) > 0) | (F.size(F.coalesce("instrument_ids", none)) > 0)
     joined = questions.select("query_id", unclear.alias("unclear"), limited.alias("limited"))
-    for part in (sums, counts, best, fitting):
+    for part in (sums, best, fitting):
         joined = joined.join(part, "query_id", "left")
     some = corpus.chunks.select("source_id").where("source_id IS NOT NULL")
     closed = corpus.blocked_sources is not None and some.join(corpus.blocked_sources.select("source_id"), "source_id", "left_anti").isEmpty()

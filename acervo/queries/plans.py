@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from acervo.plans.retrieve import Corpus, retrieve
-from acervo.session import table
+from acervo.session import cut, table
 
 
 def _corpus(spark: SparkSession, sf_dir: str) -> tuple[Corpus, DataFrame, DataFrame]:
@@ -15,15 +15,17 @@ def _corpus(spark: SparkSession, sf_dir: str) -> tuple[Corpus, DataFrame, DataFr
     v = v.groupBy("chunk_id").agg(F.min_by("vector", "vec_id").alias("vector"), F.min("vec_id").alias("id"))
     c = table(spark, sf_dir, "chunks").where("chunk_id IS NOT NULL AND verbatim_text IS NOT NULL AND instrument_id IS NOT NULL AND source_id IS NOT NULL")
     c = c.groupBy("chunk_id").agg(*[F.min(x).alias(x) for x in ("verbatim_text", "instrument_id", "source_id", "unit_id", "unit_start")]).join(v, "chunk_id")
+    c = cut(c.drop("chunk_id"))  # read for texts, vectors, sources, lines of units and questions
     chunks = c.select("id", F.col("verbatim_text").alias("text"), "instrument_id", "source_id", F.size(F.split("verbatim_text", r"\s+")).alias("tokens"))
     parties = table(spark, sf_dir, "parties").where("doc_id IS NOT NULL AND role IS NOT NULL").select(F.concat(F.lit("doc:"), "doc_id").alias("instrument_id"), F.lower(F.trim("role")).alias("party_id"))
     line = Window.partitionBy("unit_id").orderBy("unit_start", "id")
     depends = c.where("unit_id IS NOT NULL").select(F.col("id").alias("child"), F.lag("id").over(line).alias("parent")).where("parent IS NOT NULL")
+    depends = cut(depends)
     blocked = c.where("id % 7 = 0").select("source_id").distinct()
     roles, free = F.array(F.lit("locador"), F.lit("comprador")), F.array().cast("array<string>")
     asked = c.where("id % 50 = 0")
     questions = asked.select(F.col("id").alias("query_id"), F.substring("verbatim_text", -80, 80).alias("text"), F.when(F.col("id") % 100 == 0, roles).otherwise(free).alias("party_ids"), F.lit(False).alias("every_party"), F.lit(None).cast("array<string>").alias("instrument_ids"))
-    return Corpus(chunks, parties, depends, v.join(c.select("id"), "id", "left_semi").select("id", "vector"), blocked), questions, asked.select("id", "vector")
+    return Corpus(chunks, parties, depends, c.select("id", "vector"), blocked), questions, asked.select("id", "vector")
 
 
 def governed_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
