@@ -83,3 +83,10 @@ def test_governed_outcomes_of_filters(spark):
     ids = {q: {x.id for x in evidence.where(f"query_id = {q} AND rank IS NOT NULL").collect()} for q in (0, 100, 101, 105, 106)}
     assert all(i % 25 != 3 for own in ids.values() for i in own)
     assert {i % 20 for i in ids[100] | ids[106]} == {2} and {i % 20 for i in ids[105]} == {4} and all(i % 20 == 1 or i % 2 == 0 for i in ids[101])
+
+
+def test_governed_outcomes_meet_instruments_by_distinct_filter(spark):
+    asked = [(q, ["b", "a"] if q % 2 else ["a", "b", "a"], None, None) for q in range(10)] + [(20, [], True, []), (21, None, None, None), (22, [], None, ["doc:1"]), (23, ["a", "b"], False, None)]
+    questions = spark.createDataFrame(asked, "query_id long, party_ids array<string>, every_party boolean, instrument_ids array<string>")
+    got = {x.query_id: x.filter for x in plan.question_filters(questions).collect()}
+    assert got == {q: 0 for q in range(10)} | {20: None, 21: None, 22: 22, 23: 23}
