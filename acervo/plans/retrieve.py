@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from acervo.functions.text import fold
 from acervo.operators.graph import ancestors
-from acervo.operators.retrieval import best_by_vectors, best_by_words, reciprocal_rank_fusion
-from acervo.session import cut
+from acervo.operators.retrieval import best_by_vectors, best_by_words, reciprocal_rank_fusion, word_index
+from acervo.session import cut, together
 
 
 @dataclass(frozen=True)
@@ -76,15 +76,24 @@ def retrieve(corpus: Corpus, questions: DataFrame, question_vectors: DataFrame |
     token budget blocks the answer, it is never cut. A question without filters abstains where no chunk has a token of it.
     """
     none = F.array().cast("array<string>")
-    filters = cut(question_filters(questions))
-    instruments = cut(eligible_instruments(corpus, filters.where("query_id = filter")).select(F.col("query_id").alias("filter"), "instrument_id"))
-    allowed = cut(allowed_chunks(corpus, instruments))
-    ranked_words = cut(best_by_words(corpus.chunks, allowed, questions.select("query_id", "text").join(filters.select("query_id", "filter"), "query_id"), limits.depth))
-    rankings = [ranked_words]
-    if corpus.vectors is not None and question_vectors is not None:
+
+    def filtered() -> tuple[DataFrame, DataFrame, DataFrame]:
+        filters = cut(question_filters(questions))
+        instruments = cut(eligible_instruments(corpus, filters.where("query_id = filter")).select(F.col("query_id").alias("filter"), "instrument_id"))
+        return filters, instruments, cut(allowed_chunks(corpus, instruments))
+
+    def by_words() -> DataFrame:
+        return cut(best_by_words(corpus.chunks, allowed, questions.select("query_id", "text").join(filters.select("query_id", "filter"), "query_id"), limits.depth, index=index))
+
+    def by_vectors() -> DataFrame:
         near = best_by_vectors(corpus.vectors.join(allowed.select("id"), "id", "left_semi"), question_vectors, limits.depth)
         seen = near.join(filters.select("query_id", "filter"), "query_id").join(allowed, "id").where("filter IS NULL OR array_contains(filters, filter)")
-        rankings.append(seen.select("query_id", "id", "rank"))
+        return cut(seen.select("query_id", "id", "rank"))
+
+    (filters, instruments, allowed), index = together(filtered, lambda: word_index(corpus.chunks, questions.select("query_id", "text")))
+    both = corpus.vectors is not None and question_vectors is not None
+    rankings = together(by_words, *[by_vectors] * both)
+    ranked_words = rankings[0]
     ranked = cut(reciprocal_rank_fusion(rankings, limits.k))  # k rows a question
     above = ancestors(corpus.depends, ranked.select(F.col("id").alias("child"))).select(F.col("child").alias("id"), F.col("parent").alias("needed"))
     needed = ranked.join(above, "id").select("query_id", F.col("needed").alias("id")).distinct().join(ranked, ["query_id", "id"], "left_anti")

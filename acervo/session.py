@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import re
 import tempfile
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -47,3 +51,10 @@ def cut(df: DataFrame) -> DataFrame:
             raise RuntimeError("spark.checkpoint.dir must name a shared folder")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="acervo-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def together(*steps: Callable[[], Any]) -> list[Any]:
+    """What the steps give, which run at the same time: the jobs of one fill the cores that those of another leave."""
+    inherits = inheritable_thread_target(SparkSession.active())
+    with ThreadPoolExecutor(len(steps)) as pool:
+        return [x.result() for x in [pool.submit(inherits(step)) for step in steps]]

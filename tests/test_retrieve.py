@@ -1,11 +1,12 @@
 """The k best rows of each question in one pass, and governed retrieval over it."""
 
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
 
-from acervo.operators.retrieval import best_by_vectors, best_by_words, bm25, exact_nearest, top_k, with_zero_scores
+from acervo.operators.retrieval import _dealt, best_by_vectors, best_by_words, bm25, exact_nearest, top_k, with_zero_scores
 from acervo.plans import retrieve as plan
 
 
@@ -90,3 +91,25 @@ def test_governed_outcomes_meet_instruments_by_distinct_filter(spark):
     questions = spark.createDataFrame(asked, "query_id long, party_ids array<string>, every_party boolean, instrument_ids array<string>")
     got = {x.query_id: x.filter for x in plan.question_filters(questions).collect()}
     assert got == {q: 0 for q in range(10)} | {20: None, 21: None, 22: 22, 23: 23}
+
+
+def test_governed_outcomes_ranks_words_and_vectors_at_the_same_time(spark, monkeypatch):
+    """Each ranking begins only when the other has."""
+    met = threading.Barrier(2, timeout=60)
+    for name in ("best_by_words", "best_by_vectors"):
+
+        def begun(*args, own=getattr(plan, name), **kwargs):
+            met.wait()
+            return own(*args, **kwargs)
+
+        monkeypatch.setattr(plan, name, begun)
+    outcome, _ = _run(spark)
+    assert outcome.count() == 27
+
+
+def test_rows_are_dealt_to_as_many_parts_as_cores(spark):
+    """Every part gives k rows a question to the last ranking."""
+    cores = spark.sparkContext.defaultParallelism
+    dealt = _dealt(spark.range(1000), 1000, 1 << 18)
+    assert dealt.rdd.getNumPartitions() == cores and _dealt(spark.range(1000), 1000, 50).rdd.getNumPartitions() == 20
+    assert all(x == sorted(x) for x in dealt.rdd.map(lambda r: r.id).glom().collect())
